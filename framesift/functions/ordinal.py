@@ -126,7 +126,7 @@ def value_ranges(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = (),
                     interpolation: str = "linear") -> DataFrame:
-    """Exact quantiles per key as rows ``(by…, q, value)``; interpolation linear or lower.
+    """Exact quantiles per key as rows ``(by…, q, value)``; interpolation linear, lower or nearest.
 
     The value counts are shuffled, never the value list of one key.
     """
@@ -146,16 +146,18 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
         """(q, weighted value) of every wanted quantile whose lower or upper row lies in this range."""
 
         def target(q):
+            if interpolation == "nearest":
+                return F.rint(rank(q))
             return F.least(F.floor(rank(q)) + up, F.col("__n") - 1)
 
         def entry(q):
             above = rank(q) - F.floor(rank(q))
-            weight = F.lit(1.0) if interpolation == "lower" else above if up else 1 - above
+            weight = F.lit(1.0) if interpolation != "linear" else above if up else 1 - above
             return F.struct(q.alias("q"), (weight * F.col(col)).alias("v"))
 
         return F.transform(F.filter(want, lambda q: (target(q) >= F.col("lo")) & (target(q) < F.col("hi"))), entry)
 
-    both = share_of(0) if interpolation == "lower" else F.concat(share_of(0), share_of(1))
+    both = share_of(0) if interpolation != "linear" else F.concat(share_of(0), share_of(1))
     return (
         rows.select(*by, F.explode(both).alias("e"))
         .groupBy(*by, F.col("e.q").alias("q"))

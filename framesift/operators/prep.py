@@ -43,12 +43,12 @@ def usable_boxes(boxes: DataFrame, excluded: DataFrame, categories: Sequence[str
 
 
 def category_totals(ok_boxes: DataFrame, frames: DataFrame, excluded: DataFrame) -> DataFrame:
-    """NI distinct tracks per category beside NF, the frames that may be sampled."""
+    """``total_ni`` distinct tracks per category beside ``total_nf``, the frames that may be sampled."""
     nf = remove_frames(frames, excluded).agg(F.count(F.lit(1)))
     return (
         ok_boxes.select("category", "track_id").distinct()
-        .groupBy("category").agg(F.count(F.lit(1)).alias("NI"))
-        .withColumn("NF", nf.scalar())
+        .groupBy("category").agg(F.count(F.lit(1)).alias("total_ni"))
+        .withColumn("total_nf", nf.scalar())
     )
 
 

@@ -1,3 +1,3 @@
 """Importing this module fills the query registry."""
 
-from queries import q_prep  # noqa: F401
+from queries import q_orders, q_prep, q_stats  # noqa: F401

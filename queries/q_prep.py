@@ -216,6 +216,6 @@ def a2(spark, d):
 
 
 @query("Q11_category_totals", with_views("hits", "frames", body="""
-SELECT category, count(DISTINCT track_id) AS NI, (SELECT count(*) FROM frames WHERE split = 'test') AS NF FROM hits GROUP BY 1"""))
+SELECT category, count(DISTINCT track_id) AS total_ni, (SELECT count(*) FROM frames WHERE split = 'test') AS total_nf FROM hits GROUP BY 1"""))
 def q11(spark, d):
     return prep.category_totals(usable(spark, d), frames(spark), excluded(spark))
