@@ -136,29 +136,30 @@ def best_overlaps(left: DataFrame, right: DataFrame, by: Sequence[str], left_key
     schema = T.StructType([left.schema[left_key], T.StructField("best_iou", T.DoubleType()), T.StructField("best_score", T.DoubleType())])
     x1, _, x2, _ = B.CORNERS
 
-    def tiled(df, cols):
-        spread = df.select(*by, *B.CORNERS, *cols).withColumn(
-            "__tile", F.explode(F.sequence(F.floor(F.col(x1) / tile), F.floor(F.col(x2) / tile))))
-        return spread.withColumn("__g", F.pmod(F.xxhash64(*by), F.lit(groups)))
-
+    key_type = left.schema[left_key].dataType
+    zero = F.lit(0).cast(key_type)
+    side = lambda df, ours, k, s: df.select(
+        *by, *B.CORNERS, F.lit(ours).alias("__ours"), k.alias("__key"), s.cast("double").alias("__score"))
+    both = side(left, True, F.col(left_key), F.lit(0.0)).unionByName(side(right, False, zero, F.col(right_score)))
     groups = max(8, left.count() // rows_per_group)
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        best, score = np.zeros(len(a)), np.zeros(len(a))
-        pools = b.groupby(by, sort=False).indices if len(b) else {}
-        xb, sb = b[list(B.CORNERS)].to_numpy(), b[right_score].to_numpy(dtype=float)
-        xa = a[list(B.CORNERS)].to_numpy()
-        for k, rows in a.groupby(by, sort=False).indices.items():
-            pool = pools.get(k)
-            if pool is None:
+    tiles = both.withColumn("__tile", F.explode(F.sequence(F.floor(F.col(x1) / tile), F.floor(F.col(x2) / tile))))
+    tiles = tiles.withColumn("__g", F.pmod(F.xxhash64(*by), F.lit(groups)))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        xy, scores = rows[list(B.CORNERS)].to_numpy(), rows["__score"].to_numpy()
+        ours = rows["__ours"].to_numpy()
+        best, score = np.zeros(len(rows)), np.zeros(len(rows))
+        for members in rows.groupby(by, sort=False).indices.values():
+            mine, pool = members[ours[members]], members[~ours[members]]
+            if not len(mine) or not len(pool):
                 continue
-            for part in np.array_split(rows, max(1, len(rows) * len(pool) // 4_000_000 + 1)):
-                i = B.np_iou(xa[part], xb[pool])
+            for part in np.array_split(mine, len(mine) * len(pool) // 4_000_000 + 1):
+                i = B.np_iou(xy[part], xy[pool])
                 best[part] = i.max(axis=1)
-                score[part] = np.where(i > above, sb[pool][None, :], 0.0).max(axis=1)
-        return pd.DataFrame({left_key: a[left_key], "best_iou": best, "best_score": score})
+                score[part] = np.where(i > above, scores[pool][None, :], 0.0).max(axis=1)
+        return pd.DataFrame({left_key: rows["__key"], "best_iou": best, "best_score": score})[ours]
 
-    met = tiled(left, [left_key]).groupBy("__g", "__tile").cogroup(tiled(right, [right_score]).groupBy("__g", "__tile")).applyInPandas(meet, schema)
+    met = tiles.groupBy("__g", "__tile").applyInPandas(meet, schema)
     return met.groupBy(left_key).agg(F.max("best_iou").alias("best_iou"), F.max("best_score").alias("best_score"))
 
 
