@@ -96,7 +96,9 @@ def prepare_feed(queues: DataFrame, hits: DataFrame, path: str) -> None:
     empty = queues.withColumns({"category": F.lit(None).cast("string"), "track_id": F.lit(None).cast(hits.schema["track_id"].dataType)})
     rows = empty.unionByName(found).withColumn("pos_block", F.floor(F.col("pos") / BLOCK))
     cols = ["order_id", F.col("chunk_id").cast("long").alias("chunk_id"), "pos", "frame_id", "category", F.col("track_id").cast("long").alias("track_id"), "pos_block"]
-    rows.select(*cols).write.partitionBy("pos_block").parquet(path)
+    # Ranges of (block, order, chunk) keep the files of a block few and a crowded chunk spread.
+    layout = ["pos_block", "order_id", "chunk_id"]
+    rows.select(*cols).repartitionByRange(*layout).sortWithinPartitions(*layout, "pos").write.partitionBy("pos_block").parquet(path)
 
 
 def make_queues(frames: DataFrame, chunks: DataFrame, order_seeds: dict[str, int]) -> DataFrame:
