@@ -25,7 +25,7 @@ def random_boxes(spark, n=400, frames=40, seed=0):
     rng = np.random.default_rng(seed)
     x, y = rng.random(n) * 900, rng.random(n) * 300
     rows = [(i, ("a", "b")[int(rng.integers(2))], int(rng.integers(frames)), float(x[i]), float(y[i]), float(x[i] + 30 + rng.random() * 60),
-             float(y[i] + 30 + rng.random() * 60), float(rng.random().round(2))) for i in range(n)]
+             float(y[i] + 30 + rng.random() * 60), float(rng.integers(100)) / 100) for i in range(n)]
     return spark.createDataFrame(rows, SCHEMA), pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
