@@ -8,8 +8,8 @@ window over rows is inside one (key, bucket).
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,76 +37,84 @@ def block_of(axis: Column, length: int | None = None, at_least: int = 4096, bloc
     return F.floor(axis / F.lit(size)).cast("long")
 
 
-def sampled_bucket(df: DataFrame, order: Sequence[Column], buckets: int = 64, per_bucket: int = 32) -> Column:
-    """Bucket by cut points of the whole sort key, taken from a bounded hash sample.
+@dataclass(frozen=True)
+class SampledBucket:
+    """Cut points found by a subquery, coarse ones and the fine ones between them."""
+
+    levels: Column
+    key: Column
+    per_level: int
+
+    def add_to(self, df: DataFrame, name: str) -> DataFrame:
+        cuts = df.withColumn("__cuts", self.levels)
+        below = lambda array: F.coalesce(F.size(F.filter(array, lambda c: c <= self.key)), F.lit(0))
+        placed = cuts.withColumn("__part", below(F.col("__cuts.coarse")))
+        fine = below(F.element_at("__cuts.fine", F.col("__part") + 1))
+        return placed.withColumn(name, F.col("__part") * self.per_level + fine).drop("__cuts", "__part")
+
+
+def with_bucket(df: DataFrame, bucket: Column | SampledBucket, name: str) -> DataFrame:
+    return bucket.add_to(df, name) if isinstance(bucket, SampledBucket) else df.withColumn(name, bucket)
 
-    Cut points only balance the buckets; the result is exact whatever they are.  Because the
-    cut is on the full key, ties in its first column spread over many buckets.
-    """
-    probe = df.select(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-    cols = [_comparable(c, f.dataType).alias(f.name) for c, f in zip(order, probe.schema.fields)]
-    names = probe.columns
-    probe = df.select(*cols)
-    sample = probe.orderBy(F.xxhash64(*names)).limit(buckets * per_bucket).orderBy(*names).collect()
-    picks = sorted({round(i * len(sample) / buckets) for i in range(1, buckets)} - {0, len(sample)})
-    if not picks:
-        return F.lit(0)
-    types = [f"{f.name}:{f.dataType.simpleString()}" for f in probe.schema.fields]
-    if len(names) == 1:
-        cuts, kind, key = [sample[i][0] for i in picks], types[0].split(":", 1)[1], cols[0]
-    else:
-        cuts, kind, key = [sample[i].asDict() for i in picks], f"struct<{','.join(types)}>", F.struct(*cols)
-    return F.size(F.filter(F.from_json(F.lit(json.dumps(cuts)), f"array<{kind}>"), lambda c: c <= key))
 
+def sampled_bucket(df: DataFrame, order: Sequence[Column], per_level: int = 8, sample: int = 4096) -> SampledBucket:
+    """Bucket by cut points of the whole sort key: ``per_level``² + 1 buckets of about equal size.
 
-def _comparable(col: Column, kind: T.DataType) -> Column:
-    """Same order in a type that a JSON literal keeps exactly."""
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(col.cast("timestamp"))
-    if isinstance(kind, T.DateType):
-        return F.unix_date(col)
-    return col
+    Cut points only balance the buckets; the result is exact whatever they are.  Because the cut is
+    on the full key, ties in its first column spread over many buckets.  One numeric key takes its
+    cut points from an approximate-quantile aggregate, others from a bounded hash sample; either
+    way they are one short array, found by a subquery, and each row compares with few of them.
+    """
+    count = per_level * per_level
+    fields = df.select(*[c.alias(f"k{i}") for i, c in enumerate(order)]).schema.fields
+    if len(order) == 1 and isinstance(fields[0].dataType, T.NumericType) and not isinstance(fields[0].dataType, T.DecimalType):
+        key = order[0]
+        shares = F.array(*[F.lit(i / (count + 1)) for i in range(1, count + 1)])
+        cuts = df.agg(F.percentile_approx(key, shares, F.lit(20 * count)).alias("c"))
+    else:
+        key = F.struct(*[c.alias(f.name) for c, f in zip(order, fields)])
+        picked = df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(sample)
+        ranked = picked.agg(F.array_sort(F.collect_list("k")).alias("all"))
+        at = lambda i: F.element_at("all", F.floor(i * F.size("all") / (count + 1)).cast("int") + 1)
+        cuts = ranked.where(F.size("all") > 0).select(F.transform(F.sequence(F.lit(1), F.lit(count)), at).alias("c"))
+    levels = cuts.select(F.struct(
+        F.transform(F.sequence(F.lit(1), F.lit(per_level - 1)), lambda i: F.element_at("c", i * per_level + 1)).alias("coarse"),
+        F.transform(F.sequence(F.lit(0), F.lit(per_level - 1)), lambda i: F.slice("c", i * per_level + 1, F.lit(per_level))).alias("fine"),
+    )).scalar()
+    return SampledBucket(levels, key, per_level)
 
 
 def running(
     df: DataFrame,
     order: Sequence[Column],
-    bucket: Column,
+    bucket: Column | SampledBucket,
     by: Sequence[str] = (),
-    value: Column | None = None,
+    value: Column | Mapping[str, Column] | None = None,
     name: str = "pos",
 ) -> DataFrame:
     """Running total of ``value`` (inclusive), or the 0-based position when ``value`` is None.
 
-    ``order`` is ascending and ``bucket`` must not decrease along it.
+    ``order`` is ascending and ``bucket`` must not decrease along it.  A mapping of names to values
+    gives several totals in one pass.
     """
     by = list(by)
-    rows = df.withColumn("__bucket", bucket)
-    if value is not None:
-        rows = rows.withColumn("__value", value)
-    total = F.count(F.lit(1)) if value is None else F.sum("__value")
+    totals = value if isinstance(value, Mapping) else {name: value}
+    rows = with_bucket(df, bucket, "__bucket").withColumns(
+        {f"__value_{n}": v for n, v in totals.items() if v is not None})
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy(*by, "__bucket")
-        .agg(total.alias("__total"))
-        .withColumn("__offset", F.coalesce(F.sum("__total").over(before), F.lit(0)))
-        .drop("__total")
-    )
     inside = Window.partitionBy(*by, "__bucket").orderBy(*order)
-    if value is None:
-        local = F.row_number().over(inside) - 1
-    else:
-        local = F.sum("__value").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        rows.withColumn("__local", local)
-        .join(offsets, [*by, "__bucket"])
-        .withColumn(name, F.col("__local") + F.col("__offset"))
-        .select(*df.columns, name)
-    )
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    offsets = rows.groupBy(*by, "__bucket").agg(*[
+        (F.count(F.lit(1)) if v is None else F.sum(f"__value_{n}")).alias(f"__total_{n}") for n, v in totals.items()])
+    offsets = offsets.select(*by, "__bucket", *[
+        F.coalesce(F.sum(f"__total_{n}").over(before), F.lit(0)).alias(f"__offset_{n}") for n in totals])
+    local = {n: F.row_number().over(inside) - 1 if v is None else F.sum(f"__value_{n}").over(so_far) for n, v in totals.items()}
+    placed = rows.withColumns({f"__local_{n}": c for n, c in local.items()}).join(offsets, [*by, "__bucket"])
+    return placed.select(*df.columns, *[(F.col(f"__local_{n}") + F.col(f"__offset_{n}")).alias(n) for n in totals])
 
 
 def positions(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), name: str = "pos",
-              bucket: Column | None = None) -> DataFrame:
+              bucket: Column | SampledBucket | None = None) -> DataFrame:
     """0-based positions along ``order`` inside ``by``; cut points are sampled when no bucket is given."""
     return running(df, order, sampled_bucket(df, order) if bucket is None else bucket, by=by, name=name)
 
@@ -119,8 +127,9 @@ def dense_codes(df: DataFrame, col: str, by: Sequence[str] = (), name: str = "co
 
 def value_ranges(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """Distinct values with the half-open range of sorted row positions they fill."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
-    ranged = running(counts, [F.col(col)], sampled_bucket(counts, [F.col(col)]), by=by, value=F.col("n"), name="hi")
+    known = df.where(F.col(col).isNotNull())
+    counts = known.groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
+    ranged = running(counts, [F.col(col)], sampled_bucket(known, [F.col(col)]), by=by, value=F.col("n"), name="hi")
     return ranged.withColumn("lo", F.col("hi") - F.col("n"))
 
 

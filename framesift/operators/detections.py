@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from framesift.functions import boxes as B
 from framesift.functions.ordinal import exact_quantiles
 from framesift.operators.greedy import DROPPED, OPEN, TAKEN
-from framesift.session import cut_lineage
+from framesift.session import cut_lineage, spread
 
 
 def confident(df: DataFrame, above: float = 0.5) -> DataFrame:
@@ -115,9 +115,9 @@ def suppress(df: DataFrame, limit: float, score: str = "confidence", by: Sequenc
     while True:
         first = F.floor((F.col(x1) + shift - border) / tile)
         last = F.floor((F.col(x2) + shift + border) / tile)
-        spread = state.withColumn("__tile", F.explode(F.sequence(first, last))).withColumn("__lo", F.col("__tile") * tile - shift)
-        spread = spread.withColumn("__g", F.pmod(F.xxhash64(*by), F.lit(groups)))
-        state = cut_lineage(spread.groupBy("__g", "__tile").applyInPandas(settle, out), "suppress")
+        tiles = state.withColumn("__tile", F.explode(F.sequence(first, last))).withColumn("__lo", F.col("__tile") * tile - shift)
+        tiles = tiles.withColumn("__g", F.pmod(F.xxhash64(*by), F.lit(groups)))
+        state = cut_lineage(spread(tiles, "__g", "__tile").groupBy("__g", "__tile").applyInPandas(settle, out), "suppress")
         if state.where(F.col("__state") == OPEN).isEmpty():
             break
         shift = (shift + tile / 2) % tile
@@ -159,7 +159,7 @@ def best_overlaps(left: DataFrame, right: DataFrame, by: Sequence[str], left_key
                 score[part] = np.where(i > above, scores[pool][None, :], 0.0).max(axis=1)
         return pd.DataFrame({left_key: rows["__key"], "best_iou": best, "best_score": score})[ours]
 
-    met = tiles.groupBy("__g", "__tile").applyInPandas(meet, schema)
+    met = spread(tiles, "__g", "__tile").groupBy("__g", "__tile").applyInPandas(meet, schema)
     return met.groupBy(left_key).agg(F.max("best_iou").alias("best_iou"), F.max("best_score").alias("best_score"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framesift.functions.ordinal import positions, seed_key
-from framesift.session import cut_lineage, scratch_path
+from framesift.session import cut_lineage, scratch_path, spread
 
 OPEN, TAKEN, DROPPED = 0, 1, 2
 
@@ -70,8 +70,8 @@ def greedy_along(items: DataFrame, axis: str, rank: str, before: int, after: int
     while True:
         a = F.col(axis) + shift
         first, last = F.floor((a - border) / block), F.floor((a + border) / block)
-        spread = state.withColumn("__block", F.explode(F.sequence(first, last))).withColumn("__lo", F.col("__block") * block - shift)
-        state = cut_lineage(spread.groupBy(*by, "__block").applyInPandas(settle, out), "greedy")
+        copies = state.withColumn("__block", F.explode(F.sequence(first, last))).withColumn("__lo", F.col("__block") * block - shift)
+        state = cut_lineage(spread(copies, *by, "__block").groupBy(*by, "__block").applyInPandas(settle, out), "greedy")
         if state.where(F.col("__state") == OPEN).isEmpty():
             return state.withColumn("taken", F.col("__state") == TAKEN).drop("__state")
         shift = (shift + block // 2) % block

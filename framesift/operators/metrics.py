@@ -21,9 +21,7 @@ def _score_groups(rows: DataFrame, truth: str, score: str, by: Sequence[str]) ->
     by = list(by)
     g = rows.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), F.sum(truth).cast("double").alias("gain"))
     order = [-F.col(score)]
-    bucket = sampled_bucket(g, order)
-    g = running(g, order, bucket, by=by, value=F.col("n"), name="cum_n")
-    return running(g, order, bucket, by=by, value=F.col("gain"), name="cum_gain")
+    return running(g, order, sampled_bucket(rows, order), by=by, value={"cum_n": F.col("n"), "cum_gain": F.col("gain")})
 
 
 def average_precision(rows: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framesift.functions.ordinal import block_of, running, sampled_bucket
+from framesift.functions.ordinal import SampledBucket, block_of, running, sampled_bucket, with_bucket
 
 
 def smooth_scores(scores: DataFrame, window: int, col: str = "score", by: Sequence[str] = ("category",),
@@ -75,12 +75,12 @@ def score_instances(scores: DataFrame, window: int, threshold: float, by: Sequen
 
 
 def with_next(rows: DataFrame, order: Sequence[Column], value: Column, by: Sequence[str] = (), name: str = "next",
-              bucket: Column | None = None) -> DataFrame:
+              bucket: Column | SampledBucket | None = None) -> DataFrame:
     """Value of the next row in order inside each key, without one task per key."""
     by = list(by)
     key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     bucket = sampled_bucket(rows, order) if bucket is None else bucket
-    cut = rows.withColumn("__bucket", bucket).withColumn("__v", value).withColumn("__key", key)
+    cut = with_bucket(rows, bucket, "__bucket").withColumn("__v", value).withColumn("__key", key)
     heads = cut.groupBy(*by, "__bucket").agg(F.min_by("__v", "__key").alias("__head"))
     heads = heads.withColumn("__after", F.lead("__head").over(Window.partitionBy(*by).orderBy("__bucket"))).drop("__head")
     inside = Window.partitionBy(*by, "__bucket").orderBy("__key")
