@@ -164,25 +164,30 @@ def best_overlaps(left: DataFrame, right: DataFrame, by: Sequence[str], left_key
 
 
 def near_pairs(new: DataFrame, old: DataFrame, by: Sequence[str], key: str, back: int, iou_at_least: float,
-               tile: float = 256.0) -> DataFrame:
-    """Range join: boxes against boxes of the previous ``back`` frames, same key, IoU at least the limit.
+               tile: float = 64.0) -> DataFrame:
+    """Range join: boxes against boxes of the previous ``back`` frames, same key, IoU at least the limit (above 0).
 
-    Equi-join on (key, frame block, x tile); the older side is copied to the blocks and tiles it can
-    meet, and a pair is kept only in the tile where its overlap starts, so no distinct is needed.
+    Equi-join on (key, frame block, tile of the plane); the older side is copied to the blocks it can
+    meet.  Only boxes that share a tile meet, and a pair is kept in the tile where its overlap
+    starts, so no distinct is needed.
     """
     by = list(by)
     width = back + 1
-    x1, _, x2, _ = B.CORNERS
-    tiles = F.explode(F.sequence(F.floor(F.col(x1) / tile), F.floor(F.col(x2) / tile)))
-    n = new.select(*by, F.col(key).alias("new_id"), F.col("frame_id").alias("new_frame"), *[F.col(c).alias("n_" + c) for c in B.CORNERS],
-                   tiles.alias("__t")).withColumn("__b", F.floor(F.col("new_frame") / width))
-    o = old.select(*by, F.col(key).alias("old_id"), F.col("frame_id").alias("old_frame"), *[F.col(c).alias("o_" + c) for c in B.CORNERS],
-                   tiles.alias("__t"))
-    o = o.withColumn("__b", F.explode(F.array(F.floor(F.col("old_frame") / width), F.floor(F.col("old_frame") / width) + 1)))
+    x1, y1, x2, y2 = (F.col(c) for c in B.CORNERS)
+    cover = lambda a, b: F.explode(F.sequence(F.floor(a / tile), F.floor(b / tile)))
+
+    def tiled(df, side):
+        named = [F.col(c).alias(f"{side[0]}_{c}") for c in B.CORNERS]
+        spread_x = df.withColumn("__x", cover(x1, x2)).withColumn("__y", cover(y1, y2))
+        return spread_x.select(*by, F.col(key).alias(f"{side}_id"), F.col("frame_id").alias(f"{side}_frame"), *named, "__x", "__y")
+
+    n = tiled(new, "new").withColumn("__b", F.floor(F.col("new_frame") / width))
+    at = F.floor(F.col("old_frame") / width)
+    o = tiled(old, "old").withColumn("__b", F.explode(F.array(at, at + 1)))
     gap = F.col("new_frame") - F.col("old_frame")
+    starts = (F.floor(F.greatest("n_xmin", "o_xmin") / tile) == F.col("__x")) & (F.floor(F.greatest("n_ymin", "o_ymin") / tile) == F.col("__y"))
+    met = n.join(o, [*by, "__b", "__x", "__y"]).where((gap >= 1) & (gap <= back) & starts)
     overlap = B.iou(B.box("n_"), B.box("o_"))
-    starts = F.floor(F.greatest("n_xmin", "o_xmin") / tile) == F.col("__t")
-    met = n.join(o, [*by, "__b", "__t"]).where((gap >= 1) & (gap <= back) & starts)
     return met.withColumn("iou", overlap).where(F.col("iou") >= iou_at_least).select(*by, "new_id", "new_frame", "old_id", "old_frame", "iou")
 
 

@@ -118,8 +118,8 @@ def expected_fingerprint(fof: DataFrame, candidate: DataFrame) -> DataFrame:
     k bounds the rows.
     """
     n = fof.agg(F.sum(F.col("k") * F.col("f"))).scalar()
-    top = fof.agg(F.max("k")).scalar()
-    ks = fof.sparkSession.range(1).select(F.explode(F.sequence(F.lit(1).cast("long"), top)).alias("k"))
+    top = fof.agg(F.max("k")).first()[0]
+    ks = fof.sparkSession.range(1, (top or 0) + 1).withColumnRenamed("id", "k")
     ks = running(ks, [F.col("k")], block_of(F.col("k")), value=F.log(F.col("k").cast("double")), name="ln_fact")
     grid = candidate.agg(F.collect_list(F.struct("x", "h"))).scalar()
     rate = lambda c: c["x"] * F.col("n")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.functions.ordinal import dense_codes
+from framesift.functions.ordinal import dense_codes, in_parts, positions
 
 MIN_TRACK_ROWS = 3
 
@@ -62,13 +62,19 @@ def dense_tracks(boxes: DataFrame) -> DataFrame:
     return dense_codes(boxes, "track_id", by=["category"], name="dense_id")
 
 
-def tracks_of_frames(hits: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Multimap lookup: every asked frame with its tracks, the empty list when it has none."""
+LONGEST_LIST = 10000
+
+
+def tracks_of_frames(hits: DataFrame, lookup: DataFrame, most: int = LONGEST_LIST) -> DataFrame:
+    """Multimap lookup: every asked frame with its tracks, the empty list when it has none.
+
+    A frame with more than ``most`` hits has several rows, told apart by ``part``.
+    """
     wanted = hits.join(lookup.select("frame_id").distinct(), "frame_id", "left_semi")
-    lists = wanted.groupBy("frame_id").agg(F.array_sort(F.collect_list("track_id")).alias("tracks"))
-    return lookup.join(lists, "frame_id", "left").withColumn(
-        "tracks", F.coalesce("tracks", F.array().cast(lists.schema["tracks"].dataType))
-    )
+    lists = in_parts(wanted, ["frame_id"], "track_id", most).groupBy("frame_id", "part").agg(
+        F.array_sort(F.collect_list("track_id")).alias("tracks"))
+    empty = F.array().cast(lists.schema["tracks"].dataType)
+    return lookup.join(lists, "frame_id", "left").withColumn("tracks", F.coalesce("tracks", empty)).fillna(0, ["part"])
 
 
 def interval_frames(intervals: DataFrame) -> DataFrame:
@@ -81,15 +87,17 @@ def interval_frames(intervals: DataFrame) -> DataFrame:
 
 def arrival_codes(events: DataFrame, key: str, seen_at: str) -> DataFrame:
     """Dense 0-based codes in order of first appearance."""
-    from framesift.functions.ordinal import positions
-
     first = events.groupBy(key).agg(F.min(seen_at).alias("__first"))
     return positions(first, [F.col("__first"), F.col(key)], name="code").select(key, "code")
 
 
-def frame_label_arrays(boxes: DataFrame, frames: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """One row per frame, one column per label: sorted 1-based dense track codes, null when absent."""
+def frame_label_arrays(boxes: DataFrame, frames: DataFrame, labels: Sequence[str], most: int = LONGEST_LIST) -> DataFrame:
+    """One row per frame, one column per label: sorted 1-based dense track codes, null when absent.
+
+    A frame with more than ``most`` boxes has several rows, told apart by ``part``.
+    """
     codes = dense_codes(boxes, "track_id", by=["category"], name="__code")
     coded = boxes.join(codes, ["category", "track_id"]).withColumn("__code", F.col("__code") + 1)
-    wide = coded.groupBy("frame_id").pivot("category", list(labels)).agg(F.array_sort(F.collect_list("__code")))
-    return frames.select("frame_id").join(wide, "frame_id", "left")
+    parts = in_parts(coded.select("frame_id", "category", "__code"), ["frame_id"], "__code", most)
+    wide = parts.groupBy("frame_id", "part").pivot("category", list(labels)).agg(F.array_sort(F.collect_list("__code")))
+    return frames.select("frame_id").join(wide, "frame_id", "left").fillna(0, ["part"])

@@ -56,5 +56,7 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition for Python stages: a fixed count, so that small inputs are not merged into one task."""
     spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = spark.sparkContext.defaultParallelism
+    if not spark.sparkContext.master.startswith("local"):
+        n = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(n, *keys)

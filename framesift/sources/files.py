@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framesift.functions.ordinal import positions
+from framesift.functions.ordinal import in_parts, positions
 
 BOX2D = "struct<x1: double, y1: double, x2: double, y2: double>"
 TRACKING_LABELS = (f"name string, video_name string, index long, labels array<struct<id: string, category: string, "
@@ -114,12 +114,6 @@ def run_missing_clips(clips: DataFrame, out: str, detect: Callable[[DataFrame],
     detect(todo).write.mode("append").partitionBy("path").parquet(out)
 
 
-def in_parts(rows: DataFrame, keys: Sequence[str], key: str, most: int) -> DataFrame:
-    """Rows with a ``part`` number that cuts crowded keys into lists of about ``most`` rows (0 for the others)."""
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return rows.join(sizes, list(keys)).withColumn("part", F.pmod(F.xxhash64(key), F.ceil(F.col("__n") / most)).cast("int")).drop("__n")
-
-
 def nested_labels(boxes: DataFrame, threshold: float, key: str = "event_id", max_labels: int = 10000) -> DataFrame:
     """One document per (path, frame) with its labels at or above the threshold, frames without any kept.
 

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from framesift.functions.hooks import detector_stage, score_column, transformed
+from framesift.functions.ordinal import in_parts
 from framesift.plans import evaluate as ev
 from framesift.session import scratch_path
 from framesift.sources import files as S
@@ -17,7 +18,7 @@ def label_files(spark, d):
     label = F.struct(F.col("track_id").cast("string").alias("id"), "category",
                      F.create_map(F.lit("crowd"), (F.col("track_id") % 2).cast("string")).alias("attributes"),
                      F.struct(*[F.col(c).alias(n) for c, n in zip(BOX, ("x1", "y1", "x2", "y2"))]).alias("box2d"))
-    doc = S.in_parts(x, ["frame_id"], "event_id", 10000).groupBy("frame_id", "chunk_id", "part").agg(F.collect_list(label).alias("labels")).select(
+    doc = in_parts(x, ["frame_id"], "event_id", 10000).groupBy("frame_id", "chunk_id", "part").agg(F.collect_list(label).alias("labels")).select(
         F.format_string("clip-%02d-%07d.jpg", "chunk_id", F.col("frame_id") % 144).alias("name"),
         F.format_string("clip-%02d", "chunk_id").alias("video_name"), (F.col("frame_id") % 144).alias("index"), "labels")
     path = scratch_path(spark, "labels")
@@ -162,7 +163,7 @@ def s13_images(spark, d):
 @query("S14_detector_arrays", with_views("det", body="SELECT frame_id, xmin AS minx, ymin AS miny, xmax AS maxx, ymax AS maxy, round(confidence, 8) AS score, category AS label FROM det"))
 def s14(spark, d):
     one = F.struct("event_id", F.array(*BOX).alias("box"), "confidence", "category")
-    outputs = S.in_parts(det(spark, d), ["frame_id"], "event_id", 10000).groupBy("frame_id", "part").agg(F.array_sort(F.collect_list(one)).alias("o")).select(
+    outputs = in_parts(det(spark, d), ["frame_id"], "event_id", 10000).groupBy("frame_id", "part").agg(F.array_sort(F.collect_list(one)).alias("o")).select(
         "frame_id", F.col("o.box").alias("boxes"), F.col("o.confidence").alias("scores"), F.col("o.category").alias("classes"))
     return rounded(S.detector_arrays(outputs, ["frame_id"]), "score", places=8)
 

@@ -133,3 +133,18 @@ def test_probabilities_that_sum_to_one_are_refused(spark):
     df = spark.createDataFrame([("a", 0.5), ("a", 0.5)], "category string, p double")
     with pytest.raises(Exception, match="sum to 1"):
         estimators.expected_finds(df, [1.0]).collect()
+
+
+def test_adaptive_search_needs_fewer_frames_on_skewed_data(spark):
+    """Direction only, over several seeds: objects sit in a few chunks, half of them are wanted."""
+    from queries import q_search as Q
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    sf, seeds = "/root/testdata/sf0.01", range(1, 8)
+    queues = Q.queues(spark, {f"o{i}": i for i in seeds})
+    hits = Q.skew_hits(spark, sf).where("category = 'click'")
+    experiments = [S.Experiment(f"{s}|{i}", "click", f"o{i}", s, seed=i) for s in ("gt_ts", "random") for i in seeds]
+    search = S.start(queues, hits, experiments, 100, S.Stop(results=0.5))
+    log = S.run(search, max_steps=20)
+    used = log.groupBy("experiment").agg(F.count_distinct("sample_id").alias("nf")).collect()
+    nf = {s: np.median([r.nf for r in used if r.experiment.startswith(s)]) for s in ("gt_ts", "random")}
+    assert nf["gt_ts"] < nf["random"]
