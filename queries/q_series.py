@@ -114,13 +114,12 @@ def b11(spark, d):
     return rounded(series.smoothed_hit_rate(c, "t", 50000.0, ["experiment"]), "rate", places=8)
 
 
-@query("U1_union_results", with_views("det", body="""
-SELECT frame_id, category, confidence, cast(NULL AS bigint) AS track_id FROM det WHERE confidence > 0.7
-UNION ALL SELECT frame_id, category, NULL, track_id FROM det WHERE track_id < 20"""))
+@query("U1_union_results", with_views("det", "hits", body="""
+SELECT frame_id, category, confidence, cast(NULL AS bigint) AS track_id FROM det
+UNION ALL SELECT frame_id, category, NULL, track_id FROM hits"""))
 def u1(spark, d):
     x = det(spark, d)
-    a = x.where("confidence > 0.7").select("frame_id", "category", "confidence")
-    return a.unionByName(x.where("track_id < 20").select("frame_id", "category", "track_id"), allowMissingColumns=True)
+    return x.select("frame_id", "category", "confidence").unionByName(hits(spark, d), allowMissingColumns=True)
 
 
 @query("U2_set_algebra", with_views("hits", body="""
@@ -149,13 +148,13 @@ def u3(spark, d):
     return li.groupBy("l_orderkey", "l_linenumber").agg(F.min_by("l_partkey", "l_partkey").alias("l_partkey"))
 
 
-# Ranking metrics: truth = frame has a usable hit of the class, score = best confidence rounded so that ties occur.
+# Ranking metrics: truth = frame has a wide usable box of the class, score = best confidence rounded so that ties occur.
 views.define("ranked", """SELECT s.category, s.frame_id, round(s.score, 2) AS score, cast(t.frame_id IS NOT NULL AS int) AS y FROM scores s
-  LEFT JOIN (SELECT DISTINCT category, frame_id FROM hits WHERE track_id % 3 = 0) t ON t.category = s.category AND t.frame_id = s.frame_id""", "scores", "hits")
+  LEFT JOIN (SELECT DISTINCT category, frame_id FROM usable WHERE xmax - xmin > 80) t ON t.category = s.category AND t.frame_id = s.frame_id""", "scores", "usable")
 
 
 def ranked(spark, d):
-    t = hits(spark, d).where("track_id % 3 = 0").select("category", "frame_id").distinct().withColumn("y", F.lit(1))
+    t = views.usable(spark, d).where("xmax - xmin > 80").select("category", "frame_id").distinct().withColumn("y", F.lit(1))
     return scores(spark, d).withColumn("score", F.round("score", 2)).join(t, ["category", "frame_id"], "left").fillna(0, ["y"])
 
 
