@@ -109,7 +109,8 @@ def running(
     offsets = offsets.select(*by, "__bucket", *[
         F.coalesce(F.sum(f"__total_{n}").over(before), F.lit(0)).alias(f"__offset_{n}") for n in totals])
     local = {n: F.row_number().over(inside) - 1 if v is None else F.sum(f"__value_{n}").over(so_far) for n, v in totals.items()}
-    placed = rows.withColumns({f"__local_{n}": c for n, c in local.items()}).join(offsets, [*by, "__bucket"])
+    # A left join keeps null filters out of one branch, so that both sides read the same exchange.
+    placed = rows.withColumns({f"__local_{n}": c for n, c in local.items()}).join(offsets, [*by, "__bucket"], "left")
     return placed.select(*df.columns, *[(F.col(f"__local_{n}") + F.col(f"__offset_{n}")).alias(n) for n in totals])
 
 
