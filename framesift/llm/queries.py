@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import ann, decontam, langid, mixing, quality, sharding, simhash, tokencount
+from framesift.llm import ann, decontam, langid, licenses, mixing, quality, secrets, sharding, simhash, tokencount
 from framesift.llm.common import arrow_batches, held_out, table
 
 
@@ -15,6 +15,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), ~held_out())
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_batches(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -49,11 +53,15 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), ~held_out())
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_batches(spark)
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_sharding, op3_quality, op4_simhash, op5_mixing, op6_language, op7_token_counts, op8_neighbours, op10_decontamination)}
+    op1_sharding, op2_secrets, op3_quality, op4_simhash, op5_mixing, op6_language, op7_token_counts, op8_neighbours, op9_licences, op10_decontamination)}
 ORACLES: dict[str, str] = {"op5_mixing": mixing.sql()}
