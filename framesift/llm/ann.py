@@ -34,6 +34,12 @@ COVER, PROBES = 0.96, 512
 ROUNDS, SEED = 30, 3
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; very large and very small rows are brought to usual sizes before."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 @dataclass
 class Codes:
     """Largest norm, mean, projection to the rotated axes, and the radius to search."""
@@ -61,8 +67,7 @@ class Codes:
 
     def of_queries(self, x: np.ndarray) -> np.ndarray:
         """A query has nothing in the filling coordinate and counts by its direction only."""
-        length = np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        return self.sign(np.column_stack([x / length * self.norm, np.zeros(len(x))]))
+        return self.sign(np.column_stack([unit(x) * self.norm, np.zeros(len(x))]))
 
 
 def learn(x: np.ndarray, norm: float, total: int, k: int, bits: int = BITS, seed: int = SEED) -> Codes:
@@ -85,6 +90,7 @@ def learn(x: np.ndarray, norm: float, total: int, k: int, bits: int = BITS, seed
     # Among all vectors the k nearest are as near as the first few of a sample are.
     few = max(1, min(len(x) - 1, round(k * len(x) / max(total, 1))))
     pick = rng.permutation(len(x))[:PROBES]
+    x = np.where(np.abs(x).max(axis=1, keepdims=True) > 0, x, 1e-300)
     near = x[pick] @ x.T
     near[np.arange(len(pick)), pick] = -np.inf
     best = np.argpartition(-near, few - 1, axis=1)[:, :few]
@@ -125,7 +131,7 @@ class Tables:
 
 
 def nearest(x: np.ndarray, rows: np.ndarray, ids: np.ndarray, tables: Tables, codes: Codes, given: np.ndarray, query: np.ndarray, own: int, code: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """``x``, ``given``: vectors and query as they are; ``rows``, ``query``: both scaled to usual sizes.  (ids, scores) of the k best retrieved vectors other than ``own``; ties go to the smaller id."""
+    """``x``, ``given``: vectors and query as they are; ``rows`` scaled to usual sizes, ``query`` of length one.  (ids, scores) of the k best retrieved vectors other than ``own``; ties go to the smaller id."""
     radius = codes.radius
     while True:
         some = tables.within(code, radius)
@@ -137,7 +143,7 @@ def nearest(x: np.ndarray, rows: np.ndarray, ids: np.ndarray, tables: Tables, co
         return np.zeros(0, np.int64), np.zeros(0)
     if len(some) > k:
         # A product in single precision, with room for its error, leaves few for the exact one.
-        rough = rows[some] @ (query / max(np.linalg.norm(query), 1e-300)).astype(np.float32)
+        rough = rows[some] @ query.astype(np.float32)
         room = 1e-5 * codes.norm
         some = some[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - room]
     # Summed row by row in one order, so that equal vectors have equal scores.
@@ -169,7 +175,7 @@ def _search(codes: Codes, scale: float, dim: int, k: int):
                     x, ids = np.concatenate(held_x), np.concatenate(held_ids)
                     held_x, held_ids = [x], [ids]
                     tables, single = Tables(codes.of_vectors(x / scale), codes.bits), (x / scale).astype(np.float32)
-                asked = rows[lo:hi] / scale
+                asked = unit(rows[lo:hi])
                 for given, q, own, code in zip(rows[lo:hi], asked, vec[lo:hi], codes.of_queries(asked)):
                     got, score = nearest(x, single, ids, tables, codes, given, q, own, int(code), k)
                     out.append((np.full(len(got), own), got, score))
@@ -209,7 +215,7 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, shard: int = SH
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     most = max(2, min(sample, SAMPLE_BYTES // (8 * dim)))
-    x = np.array([r.v for r in bounded(some, F.xxhash64("vec_id"), most).orderBy("vec_id", "v").collect()], float).reshape(-1, dim) / scale
+    x = np.array([r.v for r in bounded(some, F.xxhash64("vec_id"), most, total).orderBy("vec_id", "v").collect()], float).reshape(-1, dim) / scale
     codes = learn(x, norm, total, k)
     shards = -(-total // shard)
     indexed = some.select(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")

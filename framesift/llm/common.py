@@ -29,8 +29,15 @@ def held_out(key: str = "doc_id") -> Column:
     return fold(key) == 0
 
 
-def bounded(rows: DataFrame, order: Column, most: int) -> DataFrame:
-    """The first ``most`` rows along ``order``: partial top rows per task, so nothing larger meets in one place."""
+def bounded(rows: DataFrame, order: Column, most: int, total: int | None = None) -> DataFrame:
+    """The first ``most`` rows along ``order``, a 64-bit hash.
+
+    Partial top rows per task, so nothing larger meets in one place.  With ``total``, about the number of
+    ``rows`` there are, those whose hash is far beyond what is wanted are dropped where they are read,
+    so that what the tasks pass on does not grow with their number.
+    """
+    if total and total > 16 * most:
+        rows = rows.where(order < F.lit(-(1 << 63) + int((1 << 64) * (8 * most / total))))
     return rows.orderBy(order).limit(most)
 
 

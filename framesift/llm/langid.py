@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framesift.llm.common import bounded
+from framesift.session import cut_lineage
 
 UNDETERMINED = "und"
 #: Hidden units per direction, bytes labelled per window, bytes of margin on either side.
@@ -125,18 +126,15 @@ def log_probabilities(net: Network, raws: list[bytes]) -> np.ndarray:
             codes = np.ascontiguousarray(every[i: i + LANES].T)
             valid = np.zeros(codes.shape, np.float32)
             valid[MARGIN: MARGIN + WINDOW] = inside[i: i + LANES].T
-            used = np.flatnonzero(valid.any(axis=1))
-            top = int(used[-1]) + 1 + MARGIN if len(used) else 0
-            scores = window_scores(net, codes[:top], valid[:top])
+            scores = window_scores(net, codes, valid)
             for k in range(len(out[0])):
                 out[:, k] += np.bincount(own, scores[k], len(out))
         if stop < len(every):
             held.append((every[stop:], inside[stop:], owner[stop:]))
 
-    # Short texts side by side: windows that end early then share their empty positions.
     waiting = 0
-    for k in sorted(range(len(raws)), key=lambda k: len(raws[k])):
-        view, inside = _windows(raws[k])
+    for k, raw in enumerate(raws):
+        view, inside = _windows(raw)
         held.append((view, inside, np.full(len(view), k)))
         waiting += len(view)
         if waiting >= 4 * LANES:
@@ -262,7 +260,9 @@ def fit(labelled: DataFrame, most: int = TRAIN_DOCS) -> Network:
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     start = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - 4 * TRAIN_BYTES, F.lit(1))).cast("int") + 1
     pieces = known.select(F.substring("text", start, F.lit(4 * TRAIN_BYTES)).cast("binary").alias("t"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("o"))
-    rows = bounded(pieces, F.col("o"), most).collect()
+    total = labelled.where(F.col("lang").isNotNull()).count()
+    # Written before it is collected: the driver then gets the rows themselves, not every task's candidates.
+    rows = cut_lineage(bounded(pieces, F.col("o"), most, total), "sample").collect()
     rows = sorted(rows, key=lambda r: (r.o, bytes(r.t)))
     return train([bytes(r.t) for r in rows], [r.lang for r in rows])
 

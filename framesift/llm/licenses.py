@@ -110,11 +110,11 @@ def weak_labels(rows: DataFrame) -> DataFrame:
     return rows.withColumn("label", F.when(~speaks(rows), F.lit(PLAIN)).when(best["share"] >= 0.85, best["family"]).otherwise(F.lit(UNKNOWN)))
 
 
-def fit(spark: SparkSession, named: DataFrame, plain: DataFrame, most: int = MOST) -> Classifier:
+def fit(spark: SparkSession, named: DataFrame, plain: DataFrame, texts: int, most: int = MOST) -> Classifier:
     """Classifier from labelled paragraphs (doc_id, nth, text, words, label) and from the notices.
 
-    ``named`` are those of a family or of other licence language, ``plain`` the rest; at most ``most``
-    of each class, the first by a hash.  Four fifths and the notices fit the regression; the rest fits the temperature that
+    ``named`` are those of a family or of other licence language, ``plain`` the rest, out of about
+    ``texts`` texts; at most ``most`` of each class, the first by a hash.  Four fifths and the notices fit the regression; the rest fits the temperature that
     makes its log-loss least.
     """
     classes = sorted({f for f, _ in TEMPLATES} | {UNKNOWN, PLAIN})
@@ -122,7 +122,7 @@ def fit(spark: SparkSession, named: DataFrame, plain: DataFrame, most: int = MOS
     order = F.xxhash64("doc_id", "nth", "text")
     columns = ["text", "words", "label", (F.pmod(order, F.lit(5)) == 0).alias("calibrating"), order.alias("o")]
     known = cut_lineage(named.select(*columns), "named")
-    sample = bounded(plain.select(*columns), F.col("o"), most)
+    sample = bounded(plain.select(*columns), F.col("o"), most, texts)
     for c in classes:
         if c != PLAIN:
             sample = sample.unionByName(bounded(known.where(F.col("label") == c), F.col("o"), most))
@@ -175,6 +175,6 @@ def scan(docs: DataFrame, learn_from: Column, labelled: DataFrame | None = None,
     else:
         known = own.join(labelled.select("doc_id", "nth", "label").dropDuplicates(["doc_id", "nth"]), ["doc_id", "nth"])
         named, plain = known.where(F.col("label") != PLAIN), known.where(F.col("label") == PLAIN)
-    classifier = fit(docs.sparkSession, named, plain, most)
+    classifier = fit(docs.sparkSession, named, plain, docs.count(), most)
     found = classify(every, classifier).where(F.col("family") != PLAIN)
     return found.select("doc_id", "nth", F.col("text").alias("paragraph"), "family", F.round("probability", 6).alias("probability"), F.round("template_share", 6).alias("template_share"), "confirmed")

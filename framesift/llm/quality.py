@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framesift.llm.common import bounded
+from framesift.session import cut_lineage
 
 #: Hashed term columns, latent dimensions, labelled texts at most, neighbours that vote.
 COLUMNS, RANK, MOST, NEIGHBOURS = 2048, 48, 6000, 25
@@ -152,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Voters:
     """
     idf = _weights(*document_frequency(docs))
     one = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col("quality").cast("double")).alias("y"))
-    some = bounded(one, F.xxhash64("doc_id"), most)
+    some = cut_lineage(bounded(one, F.xxhash64("doc_id"), most, labels.count()), "labelled")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Voters:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sample = texts.join(F.broadcast(some), "doc_id").select("doc_id", "y", "text").mapInArrow(rows, "doc_id long, y double, c binary, n binary")
     # An id may have many rows: the bound holds for the rows as well.
-    got = sorted(bounded(sample, F.xxhash64("doc_id", "c", "n"), most).collect(), key=lambda r: (r.doc_id, bytes(r.c), bytes(r.n)))
+    got = sorted(cut_lineage(bounded(sample, F.xxhash64("doc_id", "c", "n"), most), "sample").collect(), key=lambda r: (r.doc_id, bytes(r.c), bytes(r.n)))
     counts = np.zeros((len(got), COLUMNS), np.float32)
     for i, r in enumerate(got):
         counts[i, np.frombuffer(r.c, np.int16)] = np.frombuffer(r.n, np.float32)

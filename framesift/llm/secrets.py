@@ -128,7 +128,7 @@ def train(learned: DataFrame, most: int = MOST) -> tuple[RandomForestClassificat
 
     None where the findings hold fewer than two labels.
     """
-    sample = cut_lineage(bounded(learned, F.xxhash64("doc_id", "nth", "candidate"), most), "findings")
+    sample = cut_lineage(bounded(learned, F.xxhash64("doc_id", "nth", "candidate"), most, learned.count()), "findings")
     odds = {w: cut_lineage(neighbour_odds(sample, w), "odds") for w in ("w1", "w2")}
     if sample.select("label").distinct().count() < 2:
         return None, odds

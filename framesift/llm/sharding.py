@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from framesift.llm.common import join_hot
 from framesift.session import cut_lineage
 
-SHARDS, ROUNDS = 8, 8
+SHARDS, ROUNDS = 8, 20
 #: Rows that one task numbers at most, about.
 NUMBERED = 100_000
-#: A shard counts as filled by a key that holds this share of its capacity; moves stop below this share of rows.
-FILLED, SETTLED = 0.98, 0.0005
+#: A shard counts as filled by a key that holds this share of its capacity, and as closed where fewer wishes than
+#: the second share can be granted; moves stop below the last share of all rows.
+FILLED, CLOSED, SETTLED = 0.98, 0.05, 0.0005
 
 
 def _numbered(rows: DataFrame, group: str, total: int, name: str) -> DataFrame:
@@ -42,10 +43,11 @@ def _numbered(rows: DataFrame, group: str, total: int, name: str) -> DataFrame:
     return local.join(offsets, [group, "__b"], "left").withColumn(name, F.col("__o") + F.col("__l")).drop("__b", "__o", "__l")
 
 
-def _wishes(linked: DataFrame, shards: int, capacity: int, total: int) -> DataFrame:
+def _wishes(linked: DataFrame, shards: int, capacity: int, total: int, closed: set[int]) -> DataFrame:
     """(row, shard, wish) of linked rows: the shard with most neighbours.
 
-    A row may have several keys; each votes with the share of its rows in every shard.
+    A row may have several keys; each votes with the share of its rows in every shard.  A shard that
+    the key has filled, or that is ``closed`` as it had no room, attracts no row from elsewhere.
     """
     here = [F.count_if(F.col("shard") == s) for s in range(shards)]
     counts = linked.groupBy("key").agg(F.array(*here).alias("in_shard"), F.count(F.lit(1)).alias("n"))
@@ -55,7 +57,7 @@ def _wishes(linked: DataFrame, shards: int, capacity: int, total: int) -> DataFr
     def vote(c: Column, s: Column) -> Column:
         share = c.cast("double") / F.col("n")
         own = s == F.col("shard")
-        return F.when(own, share).when(c >= full, F.lit(0.0)).otherwise(share)
+        return F.when(own, share).when((c >= full) | s.isin(sorted(closed)), F.lit(0.0)).otherwise(share)
 
     votes = met.select("row", "shard", F.transform("in_shard", vote).alias("v"), F.xxhash64("key").alias("h"))
     summed = votes.groupBy("row", "shard").agg(*[F.sum(F.col("v")[s]).alias(f"v{s}") for s in range(shards)], F.min("h").alias("h"))
@@ -89,14 +91,19 @@ def assign(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     start = F.pmod(F.xxhash64("row", F.lit(7)), F.lit(shards)).cast("int")
     linked = cut_lineage(join_hot(keyed, sizes, "key", "__n", total).select("row", "key", start.alias("shard")), "linked")
+    closed: set[int] = set()
     for turn in range(rounds):
-        wishes = cut_lineage(_wishes(linked, shards, capacity, total), "wishes")
+        wishes = cut_lineage(_wishes(linked, shards, capacity, total, closed), "wishes")
         table = wishes.groupBy("shard", "wish").agg(F.count(F.lit(1)).alias("n")).collect()
         filled = [sum(r.n for r in table if r.shard == s) for s in range(shards)]
         wanted = {(r.shard, r.wish): r.n for r in table if r.shard != r.wish}
         share = _quotas(wanted, filled, capacity)
-        expected = sum(n * share[b] for (_, b), n in wanted.items())
-        if not wanted or expected < max(1, SETTLED * total):
+        full = {s for s, x in share.items() if x < CLOSED} - closed
+        if full:
+            # The rows that want to go there look for the next best shard at once.
+            closed |= full
+            continue
+        if sum(n * share[b] for (_, b), n in wanted.items()) < max(1, SETTLED * total):
             break
         granted = F.element_at(F.array(*[F.lit(share[s]) for s in range(shards)]), F.col("wish") + 1)
         drawn = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
