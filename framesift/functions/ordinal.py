@@ -8,6 +8,7 @@ window over rows is inside one (key, bucket).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -57,15 +58,32 @@ def with_bucket(df: DataFrame, bucket: Column | SampledBucket, name: str) -> Dat
     return bucket.add_to(df, name) if isinstance(bucket, SampledBucket) else df.withColumn(name, bucket)
 
 
-def sampled_bucket(df: DataFrame, order: Sequence[Column], per_level: int = 8, sample: int = 4096) -> SampledBucket:
+#: Bytes that a bucket should hold, about, and the fewest and most cut points per level.
+BUCKET_BYTES, FEWEST, MOST = 64 << 20, 8, 128
+
+
+def levels_for(df: DataFrame) -> int:
+    """Cut points per level from the bytes that ``df`` reads, as its plan's leaves estimate them; no job runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # A leaf of unknown size names the largest number there is.
+    known = sum(s for s in sizes if s < 1 << 60)
+    return max(FEWEST, min(MOST, math.isqrt(known // BUCKET_BYTES) + 1))
+
+
+def sampled_bucket(df: DataFrame, order: Sequence[Column], per_level: int | None = None, sample: int | None = None) -> SampledBucket:
     """Bucket by cut points of the whole sort key: ``per_level``² + 1 buckets of about equal size.
 
+    Their number follows the size of what is read, unless it is given.
+
     Cut points only balance the buckets; the result is exact whatever they are.  Because the cut is
     on the full key, ties in its first column spread over many buckets.  One numeric key takes its
     cut points from an approximate-quantile aggregate, others from a bounded hash sample; either
     way they are one short array, found by a subquery, and each row compares with few of them.
     """
+    per_level = levels_for(df) if per_level is None else per_level
     count = per_level * per_level
+    sample = max(4096, 16 * count) if sample is None else sample
     fields = df.select(*[c.alias(f"k{i}") for i, c in enumerate(order)]).schema.fields
     if len(order) == 1 and isinstance(fields[0].dataType, T.NumericType) and not isinstance(fields[0].dataType, T.DecimalType):
         key = order[0]

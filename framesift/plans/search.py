@@ -2,9 +2,13 @@
 
 Prepared once: ``feed`` (order_id, chunk_id, pos, frame_id, category, track_id), the queue of
 every chunk with what its frames hold, laid out by blocks of queue positions so that a step reads
-only the blocks it needs.  The only state is the sampling log, one folder per step; a step
-aggregates it, lets every experiment pick chunks, looks the picked frames up, and appends.
-A lost executor or driver costs at most the step under way.
+only the blocks it needs.
+
+A step reads the state that the step before left, lets every experiment pick chunks, looks the
+picked frames up, and writes three things: the step's part of the sampling log, the sightings per
+(experiment, chunk, track) so far, and the frame counters per (experiment, chunk) so far.  The log
+itself is never read again by a search.  Every folder is written over on a retry, and a step counts
+once its last folder is complete, so ``reopen`` goes on after the last whole step.
 """
 
 from __future__ import annotations
@@ -19,12 +23,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framesift.functions.ordinal import block_of, running
 from framesift.functions.scoring import GammaScorer, ScoreFunction, pick_chunks, random_scorer
-from framesift.operators import orders, stats
+from framesift.operators import orders
 from framesift.session import scratch_path
 
 BLOCK = 1024
 LOG = "experiment string, sample_id long, chunk_id long, frame_id long, track_id long"
+SEEN = "experiment string, chunk_id long, track_id long, n long"
+LOOKED = "experiment string, chunk_id long, n_frames long, n_hits long, n_hit_frames long"
 
 # Named choices of the config grid.
 SCORERS: dict[str, ScoreFunction] = {
@@ -61,26 +68,32 @@ class Stop:
 
 @dataclass
 class Search:
-    """A prepared search; ``log_path`` holds its whole state."""
+    """A prepared search; the folder ``path`` holds its whole state."""
 
     spark: SparkSession
-    feed_path: str
-    log_path: str
+    path: str
     experiments: Sequence[Experiment]
     batch: int
     stop: Stop
-    totals: DataFrame
     scorers: dict[str, ScoreFunction] = field(default_factory=lambda: SCORERS)
     detector: Callable | None = None
     steps: int = 0
 
-    def feed(self) -> DataFrame:
-        return self.spark.read.parquet(self.feed_path)
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
 
     def log(self) -> DataFrame:
+        """The sampling log of the steps that are whole."""
         if self.steps == 0:
             return self.spark.createDataFrame([], LOG)
-        return self.spark.read.schema(LOG + ", step int").parquet(self.log_path).drop("step")
+        rows = self.spark.read.schema(LOG + ", step int").parquet(f"{self.path}/log")
+        return rows.where(F.col("step") < self.steps).drop("step")
+
+    def seen(self) -> DataFrame:
+        return self.read(f"state/step={self.steps - 1}/seen") if self.steps else self.spark.createDataFrame([], SEEN)
+
+    def looked(self) -> DataFrame:
+        return self.read(f"state/step={self.steps - 1}/looked") if self.steps else self.spark.createDataFrame([], LOOKED)
 
     def config(self) -> DataFrame:
         rows = [(e.name, e.category, e.order_id, e.scorer, e.seed) for e in self.experiments]
@@ -98,7 +111,7 @@ def prepare_feed(queues: DataFrame, hits: DataFrame, path: str) -> None:
     cols = ["order_id", F.col("chunk_id").cast("long").alias("chunk_id"), "pos", "frame_id", "category", F.col("track_id").cast("long").alias("track_id"), "pos_block"]
     # Ranges of (block, order, chunk) keep the files of a block few and a crowded chunk spread.
     layout = ["pos_block", "order_id", "chunk_id"]
-    rows.select(*cols).repartitionByRange(*layout).sortWithinPartitions(*layout, "pos").write.partitionBy("pos_block").parquet(path)
+    rows.select(*cols).repartitionByRange(*layout).sortWithinPartitions(*layout, "pos").write.mode("overwrite").partitionBy("pos_block").parquet(path)
 
 
 def make_queues(frames: DataFrame, chunks: DataFrame, order_seeds: dict[str, int]) -> DataFrame:
@@ -111,31 +124,43 @@ def make_queues(frames: DataFrame, chunks: DataFrame, order_seeds: dict[str, int
 
 
 def start(queues: DataFrame, hits: DataFrame, experiments: Sequence[Experiment], batch: int, stop: Stop,
-          scorers: dict[str, ScoreFunction] | None = None, detector: Callable | None = None) -> Search:
+          scorers: dict[str, ScoreFunction] | None = None, detector: Callable | None = None, path: str | None = None) -> Search:
+    """Prepare a search in the folder ``path`` (a new scratch folder by default)."""
     spark = queues.sparkSession
-    feed_path, log_path = scratch_path(spark, "feed"), scratch_path(spark, "log")
-    prepare_feed(queues, hits, feed_path)
+    path = path or scratch_path(spark, "search")
+    prepare_feed(queues, hits, f"{path}/feed")
     totals = hits.select("category", "track_id").distinct().groupBy("category").agg(F.count(F.lit(1)).alias("total_ni"))
-    sizes_path = scratch_path(spark, "sizes")
-    spark.read.parquet(feed_path).where("category IS NULL").groupBy("order_id", "chunk_id").agg(F.count(F.lit(1)).alias("queue_len")).write.parquet(sizes_path)
-    totals_path = scratch_path(spark, "totals")
-    totals.write.parquet(totals_path)
-    search = Search(spark, feed_path, log_path, tuple(experiments), batch, stop, spark.read.parquet(totals_path),
-                    {**SCORERS, **(scorers or {})}, detector)
-    search.sizes = spark.read.parquet(sizes_path)
+    totals.write.mode("overwrite").parquet(f"{path}/totals")
+    sizes = spark.read.parquet(f"{path}/feed").where("category IS NULL").groupBy("order_id", "chunk_id").agg(F.count(F.lit(1)).alias("queue_len"))
+    sizes.write.mode("overwrite").parquet(f"{path}/sizes")
+    return Search(spark, path, tuple(experiments), batch, stop, {**SCORERS, **(scorers or {})}, detector)
+
+
+def reopen(spark: SparkSession, path: str, experiments: Sequence[Experiment], batch: int, stop: Stop,
+           scorers: dict[str, ScoreFunction] | None = None, detector: Callable | None = None) -> Search:
+    """A search that was started in ``path``, after its last whole step."""
+    search = Search(spark, path, tuple(experiments), batch, stop, {**SCORERS, **(scorers or {})}, detector)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    while store.exists(hadoop(f"{path}/state/step={search.steps}/looked/_SUCCESS")):
+        search.steps += 1
     return search
 
 
+def counters(seen: DataFrame, looked: DataFrame) -> DataFrame:
+    """Per (experiment, chunk): the frame counters with tracks seen once and distinct tracks."""
+    tracks = seen.groupBy("experiment", "chunk_id").agg(F.count_if(F.col("n") == 1).alias("n_once"), F.count(F.lit(1)).alias("n_unique"))
+    return looked.join(tracks, ["experiment", "chunk_id"], "left")
+
+
 def choose(search: Search, step: int) -> DataFrame:
     """Picks of one step: (experiment, sample_id, order_id, category, chunk_id, pos).
 
     One group is one experiment's chunk table, already aggregated.
     """
-    log = search.log()
-    counters = stats.chunk_counters(log, ["experiment"])
-    found = log.groupBy("experiment").agg(F.count_distinct("track_id").alias("ni"))
-    table = (search.config().join(search.sizes, "order_id").join(counters, ["experiment", "chunk_id"], "left")
-             .join(found, "experiment", "left").join(search.totals, "category", "left")
+    found = search.seen().groupBy("experiment").agg(F.count_distinct("track_id").alias("ni"))
+    table = (search.config().join(search.read("sizes"), "order_id").join(counters(search.seen(), search.looked()), ["experiment", "chunk_id"], "left")
+             .join(found, "experiment", "left").join(search.read("totals"), "category", "left")
              .fillna(0, ["n_frames", "n_hits", "n_hit_frames", "n_once", "n_unique", "ni", "total_ni"]))
     scorers, batch, stop = search.scorers, search.batch, search.stop
 
@@ -148,7 +173,7 @@ def choose(search: Search, step: int) -> DataFrame:
         n = 0 if done else batch
         scores = scorers[head["scorer"]](pdf, n, rng) if n else np.zeros((0, len(pdf)))
         picks = np.array(pick_chunks(scores, (pdf["queue_len"] - pdf["n_frames"]).to_numpy(), rng), dtype=int)
-        turn = np.array([(picks[:i] == c).sum() for i, c in enumerate(picks)], dtype=int)
+        turn = pd.Series(picks).groupby(picks).cumcount().to_numpy(dtype=int) if len(picks) else picks
         return pd.DataFrame({
             "experiment": head["experiment"], "order_id": head["order_id"], "category": head["category"],
             "sample_id": sampled + np.arange(len(picks)), "chunk_id": pdf["chunk_id"].to_numpy()[picks],
@@ -160,21 +185,30 @@ def choose(search: Search, step: int) -> DataFrame:
 
 def advance(search: Search) -> bool:
     """One step of every unfinished experiment; False when none had anything left to do."""
-    picks_path = scratch_path(search.spark, "picks")
-    choose(search, search.steps).write.parquet(picks_path)
-    picks = search.spark.read.parquet(picks_path)
-    # A handful of block numbers, so that the feed read is pruned to their folders.
-    blocks = [r[0] for r in picks.select(F.floor(F.col("pos") / BLOCK)).distinct().collect()]
-    if not blocks:
+    spark, step = search.spark, search.steps
+    picks_path = f"{search.path}/picks/step={step}"
+    choose(search, step).withColumn("pos_block", F.floor(F.col("pos") / BLOCK)).write.mode("overwrite").parquet(picks_path)
+    picks = spark.read.parquet(picks_path)
+    if picks.isEmpty():
         return False
-    feed = search.feed().where(F.col("pos_block").isin(blocks))
+    # The block is a partition of the feed, so the join prunes it by the blocks that the picks hold.
     wanted = picks.withColumnRenamed("category", "__category")
-    rows = feed.join(wanted, ["order_id", "chunk_id", "pos"])
+    rows = search.read("feed").join(wanted, ["pos_block", "order_id", "chunk_id", "pos"])
     if search.detector is None:
         rows = rows.where(F.col("category").isNull() | (F.col("category") == F.col("__category")))
     else:
         rows = search.detector(rows.where("category IS NULL").drop("category", "track_id").withColumnRenamed("__category", "category"))
-    rows.select("experiment", "sample_id", "chunk_id", "frame_id", "track_id").write.parquet(f"{search.log_path}/step={search.steps}")
+    log_path = f"{search.path}/log/step={step}"
+    rows.select("experiment", "sample_id", "chunk_id", "frame_id", "track_id").write.mode("overwrite").parquet(log_path)
+    new = spark.read.schema(LOG).parquet(log_path)
+    state = f"{search.path}/state/step={step}"
+    keys = ["experiment", "chunk_id"]
+    sightings = new.where(F.col("track_id").isNotNull()).groupBy(*keys, "track_id").agg(F.count(F.lit(1)).alias("n"))
+    search.seen().unionByName(sightings).groupBy(*keys, "track_id").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{state}/seen")
+    per_frame = new.groupBy(*keys, "frame_id").agg(F.count("track_id").alias("k"))
+    frames = per_frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_frames"), F.sum("k").alias("n_hits"), F.count_if(F.col("k") > 0).alias("n_hit_frames"))
+    counts = ("n_frames", "n_hits", "n_hit_frames")
+    search.looked().unionByName(frames).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts]).write.mode("overwrite").parquet(f"{state}/looked")
     search.steps += 1
     return True
 
@@ -187,12 +221,41 @@ def run(search: Search, max_steps: int | None = None) -> DataFrame:
 
 
 def history(log: DataFrame, experiments: DataFrame, batch: int) -> DataFrame:
-    """(experiment, nf, ni) at the end of each batch that brought something new."""
-    from framesift.functions.ordinal import block_of, running
-
+    """(experiment, category, scorer, seq, nf, ni): the start, and the state before and after each batch with news."""
     nf = log.groupBy("experiment").agg(F.count_distinct("sample_id").alias("__nf"))
     first = log.where(F.col("track_id").isNotNull()).groupBy("experiment", "track_id").agg(F.min("sample_id").alias("s"))
     news = first.groupBy("experiment", F.floor(F.col("s") / batch).alias("b")).agg(F.count(F.lit(1)).alias("new"))
-    curve = running(news, [F.col("b")], block_of(F.col("b")), by=["experiment"], value=F.col("new"), name="ni")
-    return curve.join(nf, "experiment").join(experiments, "experiment").select(
-        "experiment", "category", "scorer", F.least((F.col("b") + 1) * batch, F.col("__nf")).alias("nf"), "ni")
+    curve = running(news, [F.col("b")], block_of(F.col("b")), by=["experiment"], value=F.col("new"), name="ni").join(nf, "experiment")
+    state = lambda seq, at, ni: F.struct(seq.cast("long").alias("seq"), at.cast("long").alias("nf"), ni.cast("long").alias("ni"))
+    b = F.col("b")
+    around = curve.select("experiment", F.inline(F.array(
+        state(2 * b + 1, b * batch, F.col("ni") - F.col("new")), state(2 * b + 2, F.least((b + 1) * batch, F.col("__nf")), F.col("ni")))))
+    begin = nf.select("experiment", state(F.lit(0), F.lit(0), F.lit(0)).alias("s")).select("experiment", "s.*")
+    return begin.unionByName(around).join(experiments.select("experiment", "category", "scorer"), "experiment").select(
+        "experiment", "category", "scorer", "seq", "nf", "ni")
+
+
+def invariants(search: Search, queues: DataFrame) -> DataFrame:
+    """What holds for every search, per experiment, recounted from the whole log.
+
+    (experiment, frames_twice, queue_gaps, ids_skipped, reached, overrun): frames sampled more than once, picks
+    that do not follow their chunk's queue, sample ids left out, whether the wanted number of objects
+    was found, and whether it had been found a batch before the end already.
+    """
+    log = search.log()
+    frames = log.where(F.col("track_id").isNull()).join(search.config(), "experiment").join(queues, ["order_id", "chunk_id", "frame_id"], "left")
+    twice = frames.groupBy("experiment", "frame_id").agg(F.count(F.lit(1)).alias("n")).groupBy("experiment").agg(F.count_if(F.col("n") > 1).alias("frames_twice"))
+    # Positions of a chunk are distinct when no frame comes twice, so 0 … n-1 without gaps means: the largest is n-1.
+    per_chunk = frames.groupBy("experiment", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last"))
+    gaps = per_chunk.groupBy("experiment").agg(F.sum(F.col("last") - F.col("n") + 1).alias("queue_gaps"), F.sum("n").alias("nf"))
+    ids = frames.groupBy("experiment").agg((F.max("sample_id") + 1 - F.count_distinct("sample_id")).alias("ids_skipped"))
+    first = log.where(F.col("track_id").isNotNull()).groupBy("experiment", "track_id").agg(F.min("sample_id").alias("s"))
+    counted = first.join(gaps.select("experiment", "nf"), "experiment").groupBy("experiment").agg(
+        F.count(F.lit(1)).alias("ni"), F.count_if(F.col("s") < F.floor((F.col("nf") - 1) / search.batch) * search.batch).alias("before"))
+    stop = search.stop
+    total = F.coalesce("total_ni", F.lit(0))
+    want = total if stop.results is None else F.least(total, F.ceil(total * F.lit(stop.results)) if isinstance(stop.results, float) else F.lit(stop.results))
+    return (search.config().join(twice, "experiment").join(gaps, "experiment").join(ids, "experiment").join(counted, "experiment", "left")
+            .join(search.read("totals"), "category", "left")
+            .select("experiment", "frames_twice", "queue_gaps", "ids_skipped", (F.coalesce("ni", F.lit(0)) >= want).alias("reached"),
+                    (F.coalesce("before", F.lit(0)) >= want).alias("overrun")))

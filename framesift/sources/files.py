@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,17 +25,24 @@ def read_tracking_labels(spark: SparkSession, path: str, attributes: Sequence[st
     """
     raw = spark.read.schema(TRACKING_LABELS).option("multiLine", multi_line).json(path)
     local = F.regexp_extract(F.element_at(F.split("name", "-"), -1), r"^(\d+)", 1).cast("long")
-    ordered = positions(raw.select("name", "video_name", "index"), [F.col("video_name"), F.col("index"), F.col("name")], name="frame_idx")
+    # A frame may have several documents; it is numbered once.
+    ordered = positions(raw.select("name", "video_name", "index").distinct(), [F.col("video_name"), F.col("index"), F.col("name")], name="frame_idx")
     frames = ordered.withColumn("local_frame_idx", local)
-    labels = raw.select("name", "video_name", F.explode("labels").alias("label"))
-    flat = labels.select("name", "video_name", "label.id", "label.category", "label.box2d.*",
+    labels = raw.select("name", "video_name", "index", F.explode("labels").alias("label"))
+    flat = labels.select("name", "video_name", F.col("index").alias("__index"), "label.id", "label.category", "label.box2d.*",
                          *[F.col("label.attributes")[a].alias(a) for a in attributes])
-    return flat.join(frames, ["name", "video_name"]), frames
+    same = flat["__index"].eqNullSafe(frames["index"])
+    keyed = [flat[k].eqNullSafe(frames[k]) for k in ("name", "video_name")]
+    return flat.join(frames, [*keyed, same]).drop(flat["name"], flat["video_name"], flat["__index"]), frames
 
 
-def read_frame_probe(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Probe documents ``{"frames": [...]}`` as one row per frame; packet sizes and offsets as long."""
-    doc = spark.read.schema(f"frames array<struct<{schema}>>").json(path)
+def read_frame_probe(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """Probe documents ``{"frames": [...]}`` as one row per frame; packet sizes and offsets as long.
+
+    A file holds one document over many lines, as probes write it, or one per line without
+    ``multi_line``.  A document that does not parse fails the read.
+    """
+    doc = spark.read.schema(f"frames array<struct<{schema}>>").option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
     rows = doc.select(F.inline("frames"))
     for c in ("pkt_pos", "pkt_size"):
         if c in rows.columns:
@@ -59,9 +68,11 @@ def read_listing(spark: SparkSession, path: str) -> DataFrame:
         F.timestamp_seconds(digits.cast("long")).alias("timestamp"))
 
 
-def read_cascade_results(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+def read_cascade_results(spark: SparkSession, path: str, schema: str, least_status: int | None = 2) -> tuple[DataFrame, DataFrame]:
     """Cascade result CSVs as (frames, parameters).
 
+    Frames below ``least_status`` were not part of the test and are left out (None keeps all).
+
     Two leading ``#`` lines hold ``key: value`` pairs; the file (or the folder of its parts) is
     named ``…_start_end.csv``; frames count from 1 at ``start``.
     """
@@ -69,6 +80,8 @@ def read_cascade_results(spark: SparkSession, path: str, schema: str) -> tuple[D
     end = F.regexp_extract("file", r"_(\d+)_(\d+)\.[^/]*$", 2).cast("long")
     source = F.regexp_extract(F.input_file_name(), r"^(.*_\d+_\d+\.csv)", 1)
     rows = spark.read.schema(schema).option("comment", "#").csv(path).withColumn("file", source)
+    if least_status is not None:
+        rows = rows.where(F.col("status") >= least_status)
     frames = rows.withColumn("frame", F.col("frame") - 1 + start)
     head = spark.read.text(path).withColumn("file", source).where(F.col("value").startswith("#") & F.col("value").contains(":"))
     pairs = F.str_to_map(F.regexp_replace(F.regexp_replace("value", r"^#\s*", ""), r"\s*:\s*", ":"), F.lit(r",\s*"), F.lit(":"))
@@ -77,30 +90,41 @@ def read_cascade_results(spark: SparkSession, path: str, schema: str) -> tuple[D
 
 
 def latest_dump(spark: SparkSession, root: str, date: str | None = None) -> DataFrame:
-    """Rows of the newest dump under ``root/<date>/grader<number>.parquet``; a date may be named."""
-    return _of_latest(_dumps(spark, root, "grader"), date)
+    """Rows of the newest dump under ``root/<date>/grader<number>.parquet``; a date may be named.
+
+    The newest is found from the paths, so an empty dump counts and only one is read.
+    """
+    day, number, path = newest_file(spark, root, "grader", date)
+    return spark.read.parquet(path).withColumns({"date": F.lit(day), "number": F.lit(number).cast("long")})
 
 
 def latest_history(spark: SparkSession, root: str, date: str | None = None) -> DataFrame:
     """History rows that belong to the newest dump, with the frame column under one name."""
-    newest = _of_latest(_dumps(spark, root, "grader"), date).select("date", "number").distinct()
-    rows = _dumps(spark, root, "hist").join(newest, ["date", "number"], "left_semi")
+    day, number, _ = newest_file(spark, root, "grader", date)
+    rows = spark.read.parquet(f"{root}/{day}/hist{number}.parquet").withColumns({"date": F.lit(day), "number": F.lit(number).cast("long")})
     for old in ("ilocs", "iloc"):
         if old in rows.columns:
             return rows.withColumn("frame", F.col(old).cast("long"))
     return rows.withColumn("frame", F.col("frame").cast("long"))
 
 
-def _dumps(spark, root, kind):
-    rows = spark.read.parquet(f"{root}/*/{kind}*.parquet").withColumn("__file", F.input_file_name())
-    at = lambda i: F.regexp_extract("__file", rf"/([^/]+)/{kind}(\d+)\.parquet", i)
-    return rows.withColumns({"date": at(1), "number": at(2).cast("long")}).drop("__file")
+def _matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob pattern in whatever store it names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [str(f.getPath()) for f in found] if found else []
 
 
-def _of_latest(rows, date):
-    rows = rows if date is None else rows.where(F.col("date") == date)
-    newest = rows.agg(F.max(F.struct("date", "number"))).scalar()
-    return rows.where(F.struct("date", "number") == newest)
+def newest_file(spark: SparkSession, root: str, kind: str, date: str | None = None) -> tuple[str, int, str]:
+    """(date, number, path) of the file ``root/<date>/<kind><number>.parquet`` with the largest date and then number."""
+    found = []
+    for path in _matching(spark, f"{root}/{date or '*'}/{kind}*.parquet"):
+        named = re.search(rf"/([^/]+)/{re.escape(kind)}(\d+)\.parquet$", path)
+        if named:
+            found.append((named[1], int(named[2]), path))
+    if not found:
+        raise FileNotFoundError(f"no {kind} dump under {root}")
+    return max(found)
 
 
 def dump_results(df: DataFrame, root: str, run: str, number: int) -> None:
@@ -108,10 +132,33 @@ def dump_results(df: DataFrame, root: str, run: str, number: int) -> None:
     df.write.mode("errorifexists").parquet(f"{root}/run={run}/dump={number}")
 
 
-def run_missing_clips(clips: DataFrame, out: str, detect: Callable[[DataFrame], DataFrame], done: DataFrame | None) -> None:
-    """Detect on clips without output yet and append their boxes, one folder per clip."""
-    todo = clips if done is None else clips.join(done.select("path").distinct(), "path", "left_anti")
-    detect(todo).write.mode("append").partitionBy("path").parquet(out)
+def run_missing_clips(clips: DataFrame, out: str, detect: Callable[[DataFrame], DataFrame]) -> None:
+    """Detect on the clips (path) that have not been run yet, under ``out``.
+
+    Boxes and the list of finished clips are written under one run name, the list last: a clip
+    without detections is finished too, and boxes of a run that failed are never read.
+    """
+    spark = clips.sparkSession
+    ran = finished_clips(spark, out)
+    todo = clips.select("path").distinct()
+    todo = todo if ran is None else todo.join(ran.select("path"), "path", "left_anti")
+    run = uuid.uuid4().hex
+    names = f"{out}/todo/{run}"
+    todo.write.parquet(names)
+    todo = spark.read.parquet(names)
+    detect(todo).write.parquet(f"{out}/boxes/run={run}")
+    todo.write.parquet(f"{out}/finished/run={run}")
+
+
+def finished_clips(spark: SparkSession, out: str) -> DataFrame | None:
+    """(path, run) of every clip that has been run; None before the first run."""
+    return spark.read.parquet(f"{out}/finished") if _matching(spark, f"{out}/finished/*/_SUCCESS") else None
+
+
+def clip_boxes(spark: SparkSession, out: str) -> DataFrame:
+    """Boxes of all finished runs."""
+    runs = [re.search(r"run=([^/]+)/_SUCCESS$", p)[1] for p in _matching(spark, f"{out}/finished/*/_SUCCESS")]
+    return spark.read.option("basePath", f"{out}/boxes").parquet(*[f"{out}/boxes/run={r}" for r in runs]).drop("run")
 
 
 def nested_labels(boxes: DataFrame, threshold: float, key: str = "event_id", max_labels: int = 10000) -> DataFrame:
@@ -138,12 +185,15 @@ def coco_tables(documents: DataFrame, classes: Sequence[str]) -> tuple[DataFrame
     spark = documents.sparkSession
     categories = spark.createDataFrame([(i, c, "none") for i, c in enumerate(classes)], "id int, name string, supercategory string")
     ids = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(i))])
-    numbered = positions(documents.select("name", "frame_id", "height", "width"), [F.col("name"), F.col("frame_id")], name="__pos")
+    # An image may have several documents (parts); it is numbered once, and its labels follow part by part.
+    parts = F.col("part") if "part" in documents.columns else F.lit(0)
+    one = documents.groupBy("name", "frame_id").agg(F.max("height").alias("height"), F.max("width").alias("width"))
+    numbered = positions(one, [F.col("name"), F.col("frame_id")], name="__pos")
     images = numbered.select((F.col("__pos") + 1).alias("id"), F.substring_index("name", "/", -1).alias("file_name"), "name", "frame_id",
                              F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"))
-    labels = documents.select("name", "frame_id", F.posexplode("labels").alias("at", "label")).withColumn("category_id", ids[F.col("label.category")])
+    labels = documents.select("name", "frame_id", parts.alias("part"), F.posexplode("labels").alias("at", "label")).withColumn("category_id", ids[F.col("label.category")])
     known = labels.where(F.col("category_id").isNotNull()).join(images.select("name", "frame_id", F.col("id").alias("image_id")), ["name", "frame_id"])
-    ranked = positions(known, [F.col("image_id"), F.col("at")], name="id")
+    ranked = positions(known, [F.col("image_id"), F.col("part"), F.col("at")], name="id")
     b = [F.col(f"label.box2d.{c}") for c in ("x1", "y1", "x2", "y2")]
     annotations = ranked.select(
         "id", "image_id", "category_id", F.lit(0).alias("iscrowd"), F.lit(0).alias("ignore"),

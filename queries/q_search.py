@@ -1,12 +1,10 @@
 from pyspark.sql import functions as F
 
 from framesift.functions.hooks import detector_stage
-from framesift.functions.scoring import GammaScorer
-from framesift.operators import prep, stats
+from framesift.operators import prep
 from framesift.plans import search as S
 from queries import views
 from queries.q_orders import open_frames
-from queries.q_stats import rounded
 from queries.registry import query
 from queries.views import CATEGORIES, det_skew, excluded, frames, with_views
 
@@ -30,8 +28,8 @@ def q8(spark, d):
     return queues(spark, {f"s{i}": i for i in (21, 22, 23)})
 
 
-def sweep(spark, d, names, seeds=(1, 2), batch=50, stop=S.Stop(results=0.9, frames=200), **kw):
-    """Every category × scorer × repetition as one search."""
+def sweep(spark, d, names, seeds=(1, 2), batch=400, stop=S.Stop(results=0.9), **kw):
+    """Every category × scorer × repetition as one search, up to 0.9 of the objects."""
     experiments = [S.Experiment(f"{c}|{s}|{i}", c, f"o{i}", s, seed=i) for c in CATEGORIES for s in names for i in seeds]
     return S.start(queues(spark, {f"o{i}": i for i in seeds}), skew_hits(spark, d), experiments, batch, stop, **kw)
 
@@ -42,17 +40,30 @@ def q1(spark, d):
     return S.run(sweep(spark, d, ["gt_ts", "random"]))
 
 
+@query("Q1_search_invariants", with_views("det", body="""
+SELECT category || '|' || scorer || '|' || seed AS experiment, 0::bigint AS frames_twice, 0::bigint AS queue_gaps, 0::bigint AS ids_skipped,
+  true AS reached, false AS overrun
+FROM (SELECT DISTINCT category FROM det), (SELECT unnest(['gt_ts', 'unique_bayes_ucb']) AS scorer), (SELECT unnest([1, 2]) AS seed)"""))
+def q1_invariants(spark, d):
+    """A search that stops half way is taken up again; then what every search must keep is recounted."""
+    s = sweep(spark, d, ["gt_ts", "unique_bayes_ucb"])
+    S.run(s, max_steps=2)
+    s = S.reopen(spark, s.path, s.experiments, s.batch, s.stop)
+    S.run(s)
+    return S.invariants(s, queues(spark, {f"o{i}": i for i in (1, 2)}))
+
+
 @query("Q5_Q10_search_history")
 def q5(spark, d):
-    s = sweep(spark, d, ["gt_ts", "unique_ts", "hits_none", "uniform_ts"], seeds=(1,), stop=S.Stop(results=0.2, frames=300))
+    s = sweep(spark, d, ["gt_ts", "unique_ts", "hits_none", "uniform_ts"], seeds=(1,))
     return S.history(S.run(s), s.config(), s.batch)
 
 
 @query("B6_B7_B8_B9_scorers")
 def b6(spark, d):
-    """First picks under every scorer, from the statistics after one batch."""
-    s = sweep(spark, d, list(S.SCORERS), seeds=(1,), stop=S.Stop(frames=100))
-    return S.run(s).where("track_id IS NULL").groupBy("experiment", "chunk_id").agg(F.count(F.lit(1)).alias("frames"))
+    """The picks of one step under every scorer, from the statistics after one batch, with those of the batch."""
+    s = sweep(spark, d, list(S.SCORERS), seeds=(1,))
+    return S.run(s, max_steps=2).where("track_id IS NULL").groupBy("experiment", "chunk_id").agg(F.count(F.lit(1)).alias("frames"))
 
 
 def optimistic(chunks, draws, rng):
@@ -62,7 +73,7 @@ def optimistic(chunks, draws, rng):
 
 @query("F2_scorer_plug_in")
 def f2(spark, d):
-    s = sweep(spark, d, ["optimistic"], seeds=(1,), stop=S.Stop(frames=100), scorers={"optimistic": optimistic})
+    s = sweep(spark, d, ["optimistic"], seeds=(1,), scorers={"optimistic": optimistic})
     return S.history(S.run(s), s.config(), s.batch)
 
 
@@ -78,4 +89,4 @@ def q12(spark, d):
         blank = picked.select("experiment", "sample_id", "chunk_id", "frame_id").withColumn("track_id", F.lit(None).cast("long"))
         return blank.unionByName(keep)
 
-    return S.run(sweep(spark, d, ["gt_ts"], seeds=(1,), stop=S.Stop(frames=150), detector=detect))
+    return S.run(sweep(spark, d, ["gt_ts"], seeds=(1,), detector=detect))

@@ -66,6 +66,33 @@ def test_search_repeats_itself(spark):
     assert logs[0] == logs[1]
 
 
+def test_a_search_goes_on_where_it_was_left(spark):
+    frames, hits = small(spark)
+    queues = S.make_queues(frames, frames, {"o": 1})
+    experiments = [S.Experiment("e", "a", "o", "gt_ts", seed=7), S.Experiment("r", "a", "o", "random", seed=7)]
+    whole = S.run(S.start(queues, hits, experiments, 10, S.Stop(results=0.9)))
+    left = S.start(queues, hits, experiments, 10, S.Stop(results=0.9))
+    S.run(left, max_steps=2)
+    # A step that died half way left a part of its folders behind.
+    left.log().limit(3).write.parquet(f"{left.path}/log/step=2")
+    again = S.reopen(spark, left.path, experiments, 10, S.Stop(results=0.9))
+    assert again.steps == 2
+    rows = lambda log: sorted(map(tuple, log.collect()), key=repr)
+    assert rows(S.run(again)) == rows(whole)
+    for r in S.invariants(again, queues).collect():
+        assert (r.frames_twice, r.queue_gaps, r.ids_skipped, r.reached, r.overrun) == (0, 0, 0, True, False)
+
+
+def test_kept_counters_equal_a_recount(spark):
+    frames, hits = small(spark)
+    search = S.start(S.make_queues(frames, frames, {"o": 1}), hits, [S.Experiment("e", "a", "o", "gt_ts")], 7, S.Stop(results=0.8))
+    log = S.run(search)
+    kept = {r.chunk_id: r for r in S.counters(search.seen(), search.looked()).collect()}
+    for r in stats.chunk_counters(log, ["experiment"]).collect():
+        k = kept[r.chunk_id]
+        assert (k.n_frames, k.n_hit_frames, k.n_hits, k.n_once or 0, k.n_unique or 0) == (r.n_frames, r.n_hit_frames, r.n_hits, r.n_once, r.n_unique)
+
+
 def test_stop_rules(spark):
     frames, hits = small(spark)
     queues = S.make_queues(frames, frames, {"o": 1})
