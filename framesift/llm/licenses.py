@@ -24,6 +24,8 @@ from framesift.session import cut_lineage
 
 #: Hashed columns per n-gram order, orders, labelled paragraphs per class at most.
 COLUMNS, ORDERS, MOST = 4096, (1, 2, 3), 1500
+#: Plain paragraphs to learn from, as many times those of a class: they are by far the most in a corpus.
+PLAIN_TIMES = 6
 #: Least calibrated probability of a family, least share of a template's words for confirmation.
 CERTAIN, CONFIRMED = 0.6, 0.75
 PLAIN, UNKNOWN = "none", "unknown"
@@ -114,7 +116,8 @@ def fit(spark: SparkSession, named: DataFrame, plain: DataFrame, texts: int, mos
     """Classifier from labelled paragraphs (doc_id, nth, text, words, label) and from the notices.
 
     ``named`` are those of a family or of other licence language, ``plain`` the rest, out of about
-    ``texts`` texts; at most ``most`` of each class, the first by a hash.  Four fifths and the notices fit the regression; the rest fits the temperature that
+    ``texts`` texts; at most ``most`` of each class and PLAIN_TIMES as many plain
+    ones, the first by a hash.  Four fifths and the notices fit the regression; the rest fits the temperature that
     makes its log-loss least.
     """
     classes = sorted({f for f, _ in TEMPLATES} | {UNKNOWN, PLAIN})
@@ -122,7 +125,7 @@ def fit(spark: SparkSession, named: DataFrame, plain: DataFrame, texts: int, mos
     order = F.xxhash64("doc_id", "nth", "text")
     columns = ["text", "words", "label", (F.pmod(order, F.lit(5)) == 0).alias("calibrating"), order.alias("o")]
     known = cut_lineage(named.select(*columns), "named")
-    sample = bounded(plain.select(*columns), F.col("o"), most, texts)
+    sample = bounded(plain.select(*columns), F.col("o"), PLAIN_TIMES * most, texts)
     for c in classes:
         if c != PLAIN:
             sample = sample.unionByName(bounded(known.where(F.col("label") == c), F.col("o"), most))
