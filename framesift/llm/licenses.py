@@ -58,12 +58,9 @@ UNNAMED = (
 _LICENCE_WORDS = r"(?i)\b(?:licen[cs]e[ds]?|copyright|all rights reserved|redistribut\w+|spdx)\b"
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.-]+"), lambda w: F.length(w) > 0)
-
-
-def _trimmed(words: Column) -> Column:
-    return F.transform(words, lambda w: F.regexp_replace(w, r"^[.-]+|[.-]+$", ""))
+def words_of(text: Column) -> Column:
+    """Lower-case words: letters and digits, with dots and hyphens between them."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]++(?:[.-]++[\p{L}\p{N}]++)*+"), F.lit(0))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -72,13 +69,13 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     pieces = F.when(F.length("line") <= LONG, F.array("line")).otherwise(
         F.transform(F.sequence(F.lit(0), F.floor(F.length("line") / LONG)), lambda i: F.substring(F.col("line"), (i * LONG + 1).cast("int"), F.lit(LONG))))
     each = lines.select("doc_id", "nth", F.explode(pieces).alias("text"))
-    return each.withColumn("words", _trimmed(_words(F.col("text")))).where(F.size("words") > 0)
+    return each.where(F.col("text").rlike(r"[\p{L}\p{N}]")).withColumn("words", words_of(F.col("text")))
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
     """``rows`` with ``features``: counts of hashed n-grams."""
     for n in ORDERS:
-        rows = NGram(n=n, inputCol="words", outputCol=f"__g{n}").transform(rows)
+        rows = NGram(n=n, inputCol="words", outputCol=f"__g{n}").transform(rows) if n > 1 else rows.withColumn("__g1", F.col("words"))
         rows = HashingTF(numFeatures=COLUMNS, inputCol=f"__g{n}", outputCol=f"__h{n}", binary=True).transform(rows)
     return VectorAssembler(inputCols=[f"__h{n}" for n in ORDERS], outputCol="features").transform(rows).drop(*[f"__{k}{n}" for n in ORDERS for k in "gh"])
 
@@ -113,7 +110,7 @@ def weak_labels(rows: DataFrame) -> DataFrame:
 
 
 def fit(spark: SparkSession, named: DataFrame, plain: DataFrame, texts: int, most: int = MOST) -> Classifier:
-    """Classifier from labelled paragraphs (doc_id, nth, text, words, label) and from the notices.
+    """Classifier from labelled paragraphs (doc_id, nth, text, label) and from the notices.
 
     ``named`` are those of a family or of other licence language, ``plain`` the rest, out of about
     ``texts`` texts; at most ``most`` of each class and PLAIN_TIMES as many plain
@@ -121,9 +118,9 @@ def fit(spark: SparkSession, named: DataFrame, plain: DataFrame, texts: int, mos
     makes its log-loss least.
     """
     classes = sorted({f for f, _ in TEMPLATES} | {UNKNOWN, PLAIN})
-    notices = spark.createDataFrame([(n, n.split(), f) for f, n in TEMPLATES] + [(n, n.split(), UNKNOWN) for n in UNNAMED], "text string, words array<string>, label string")
+    notices = spark.createDataFrame([(n, f) for f, n in TEMPLATES] + [(n, UNKNOWN) for n in UNNAMED], "text string, label string")
     order = F.xxhash64("doc_id", "nth", "text")
-    columns = ["text", "words", "label", (F.pmod(order, F.lit(5)) == 0).alias("calibrating"), order.alias("o")]
+    columns = ["text", "label", (F.pmod(order, F.lit(5)) == 0).alias("calibrating"), order.alias("o")]
     known = cut_lineage(named.select(*columns), "named")
     sample = bounded(plain.select(*columns), F.col("o"), PLAIN_TIMES * most, texts)
     for c in classes:
@@ -131,6 +128,7 @@ def fit(spark: SparkSession, named: DataFrame, plain: DataFrame, texts: int, mos
             sample = sample.unionByName(bounded(known.where(F.col("label") == c), F.col("o"), most))
     sample = sample.drop("o").unionByName(notices.withColumn("calibrating", F.lit(False)))
     sample = sample.withColumn("y", (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - F.lit(1)).cast("double"))
+    sample = sample.withColumn("words", words_of(F.col("text")))
     sample = cut_lineage(_vectors(sample).select("calibrating", "y", "features"), "paragraphs")
     calibrating = F.col("calibrating")
     model = LogisticRegression(featuresCol="features", labelCol="y", maxIter=40, regParam=1e-3, family="multinomial").fit(sample.where(~calibrating))
@@ -148,7 +146,8 @@ def classify(rows: DataFrame, classifier: Classifier) -> DataFrame:
 
     ``none`` is plain text; ``unknown`` is licence language whose family is not certain.
     """
-    scored = classifier.model.transform(_vectors(rows)).withColumn("__z", vector_to_array("rawPrediction"))
+    # A generator, as filters don't move below it: a filter on the family would run the model again for every use of its result.
+    scored = classifier.model.transform(_vectors(rows)).select(*rows.columns, F.explode(F.array(vector_to_array("rawPrediction"))).alias("__z"))
     top = F.array_max("__z")
     e = F.transform("__z", lambda z: F.exp((z - top) / classifier.temperature))
     names = F.array(*[F.lit(c) for c in classifier.classes])
@@ -159,7 +158,7 @@ def classify(rows: DataFrame, classifier: Classifier) -> DataFrame:
     named = ~F.col("__class").isin(PLAIN, UNKNOWN)
     family = F.when(named & (F.col("probability") < CERTAIN), F.lit(UNKNOWN)).otherwise(F.col("__class"))
     return scored.withColumns({"family": family, "template_share": F.when(named, held).otherwise(F.lit(0.0))}).withColumn(
-        "confirmed", named & (F.col("probability") >= CERTAIN) & (F.col("template_share") >= CONFIRMED)).drop("__z", "__class", "rawPrediction", "prediction", "features")
+        "confirmed", named & (F.col("probability") >= CERTAIN) & (F.col("template_share") >= CONFIRMED)).drop("__z", "__class")
 
 
 def scan(docs: DataFrame, learn_from: Column, labelled: DataFrame | None = None, most: int = MOST) -> DataFrame:
