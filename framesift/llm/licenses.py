@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from framesift.llm.common import bounded
 from framesift.session import cut_lineage
 
-#: Hashed columns per n-gram order, orders, labelled paragraphs per class at most.
-COLUMNS, ORDERS, MOST = 4096, (1, 2, 3), 1500
+#: Hashed columns, words of the longest n-gram, labelled paragraphs per class at most.
+COLUMNS, LONGEST, MOST = 12288, 3, 1500
 #: Plain paragraphs to learn from, as many times those of a class: they are by far the most in a corpus.
 PLAIN_TIMES = 6
 #: Least calibrated probability of a family, least share of a template's words for confirmation.
@@ -73,11 +73,18 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``features``: counts of hashed n-grams."""
-    for n in ORDERS:
-        rows = NGram(n=n, inputCol="words", outputCol=f"__g{n}").transform(rows) if n > 1 else rows.withColumn("__g1", F.col("words"))
-        rows = HashingTF(numFeatures=COLUMNS, inputCol=f"__g{n}", outputCol=f"__h{n}", binary=True).transform(rows)
-    return VectorAssembler(inputCols=[f"__h{n}" for n in ORDERS], outputCol="features").transform(rows).drop(*[f"__{k}{n}" for n in ORDERS for k in "gh"])
+    """``rows`` with ``features``: which hashed n-grams of words, of one to LONGEST words, occur.
+
+    An n-gram is the hash of the two that are shorter by a word, so that no strings are put together.
+    """
+    own, grams = rows.columns, ["__g1"]
+    rows = rows.withColumn("__g1", F.transform("words", lambda w: F.xxhash64(w)))
+    for n in range(2, LONGEST + 1):
+        short = F.col(grams[-1])
+        rows = rows.withColumn(f"__g{n}", F.zip_with(F.slice(short, 1, F.greatest(F.size(short) - 1, F.lit(0))), F.slice(short, F.lit(2), F.greatest(F.size(short) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
+        grams.append(f"__g{n}")
+    rows = rows.withColumn("__grams", F.concat(*grams))
+    return HashingTF(numFeatures=COLUMNS, inputCol="__grams", outputCol="features", binary=True).transform(rows).select(*own, "features")
 
 
 def template_share(words: Column) -> dict[str, Column]:
