@@ -463,6 +463,23 @@ def test_licence_edges(spark, odd):
     assert licenses.scan(empty(spark), ~common.held_out()).count() == 0
 
 
+def test_licence_words_and_grams_against_brute_force(spark):
+    """Words keep inner dots and hyphens only; features are the distinct n-grams of one to three words."""
+    texts = ["Apache License, Version 2.0.", "-- cc by-nc 4.0 --", "a", "a a a a", "..x..y-", "Ünï-cödé\tÉ", "to be or not to be"]
+    rows = licenses.paragraphs(spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", "--- . -", None])], "doc_id long, text string"))
+    got = {r.doc_id: (r.words, r.features.numNonzeros()) for r in licenses._vectors(rows).collect()}
+
+    def words(t):
+        kept = "".join(c if c.isalnum() or c in ".-" else " " for c in t.lower()).split()
+        return [w.strip(".-") for w in kept if w.strip(".-")]
+
+    assert sorted(got) == list(range(len(texts)))
+    for i, t in enumerate(texts):
+        w = words(t)
+        grams = {tuple(w[k: k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1)}
+        assert got[i] == (w, len(grams)), t
+
+
 # pipeline
 
 def test_pipeline_stages(spark):
