@@ -135,7 +135,8 @@ def fit(spark: SparkSession, named: DataFrame, plain: DataFrame, texts: int, mos
             sample = sample.unionByName(bounded(known.where(F.col("label") == c), F.col("o"), most))
     sample = sample.drop("o").unionByName(notices.withColumn("calibrating", F.lit(False)))
     sample = sample.withColumn("y", (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - F.lit(1)).cast("double"))
-    sample = sample.withColumn("words", words_of(F.col("text")))
+    # Written first: the words and n-grams would otherwise be made below the limits, of all rows, and turn them into whole sorts.
+    sample = cut_lineage(sample, "chosen").withColumn("words", words_of(F.col("text")))
     sample = cut_lineage(_vectors(sample).select("calibrating", "y", "features"), "paragraphs")
     calibrating = F.col("calibrating")
     model = LogisticRegression(featuresCol="features", labelCol="y", maxIter=40, regParam=1e-3, family="multinomial").fit(sample.where(~calibrating))
