@@ -25,7 +25,7 @@ KEEP, TEMPER = 0.6, 0.7
 #: Least share of rows for a value of its own: so a marginal has at most 1 / LEAST + 1 values.
 LEAST = 0.0001
 #: Cycles at most, cycles in one job, and the change of any cell at which raking ends.
-CYCLES, PER_JOB, TOLERANCE = 60, 12, 1e-9
+CYCLES, PER_JOB, TOLERANCE = 60, 4, 1e-9
 OTHER, NONE = "(other)", "(none)"
 #: Topics by the first rule that a text meets.
 TOPICS = (
