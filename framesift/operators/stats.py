@@ -47,12 +47,21 @@ def good_turing(fof: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return fof.groupBy(*by).agg(F.coalesce(F.when(n > 0, once / n), F.lit(1.0)).alias("unseen_mass"))
 
 
-def good_toulmin(fof: DataFrame, steps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """New tracks expected in ``steps`` further sightings: minus the alternating power sum."""
+def good_toulmin(fof: DataFrame, steps: Sequence[float], by: Sequence[str] = (), keys: DataFrame | None = None) -> DataFrame:
+    """New tracks expected in ``steps`` further sightings: minus the alternating power sum.
+
+    Where nothing was seen yet, each step is expected to bring a new track; ``keys`` names the groups
+    that may have no row in ``fof``.
+    """
     totals = fof.groupBy(*by).agg(F.sum(F.col("k") * F.col("f")).alias("n"))
     rows = fof.join(totals, list(by)) if by else fof.withColumn("n", totals.scalar())
     wide = rows.withColumn("steps", F.explode(F.array(*[F.lit(float(s)) for s in steps])))
-    return wide.groupBy(*by, "steps").agg((-F.sum(F.col("f") * F.pow(-F.col("steps") / F.col("n"), F.col("k")))).alias("expected_new"))
+    found = wide.groupBy(*by, "steps").agg((-F.sum(F.col("f") * F.pow(-F.col("steps") / F.col("n"), F.col("k")))).alias("expected_new"))
+    if keys is None and by:
+        return found
+    groups = keys.select(*by).distinct() if by else fof.sparkSession.range(1).select()
+    every = groups.withColumn("steps", F.explode(F.array(*[F.lit(float(s)) for s in steps])))
+    return every.join(found, [*by, "steps"], "left").withColumn("expected_new", F.coalesce("expected_new", "steps"))
 
 
 def choice_shares(samples: DataFrame, chunks: DataFrame, after: Sequence[int]) -> DataFrame:

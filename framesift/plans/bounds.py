@@ -8,19 +8,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framesift.functions.ordinal import exact_quantiles
-from framesift.operators.estimators import exposure
 from framesift.session import cut_lineage
 
 
 def _pull(p: DataFrame, w: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per chunk Σ p·exp(−Σpw): how much one more sample there is worth; with the misses."""
-    x = exposure(p, w, keys).withColumn("l", F.exp(-F.col("x")))
-    worth = p.join(x, [c for c in [*keys, "track_id"] if c in p.columns]).groupBy(*keys, "chunk_id").agg(F.sum(F.col("p") * F.col("l")).alias("g"))
-    lost = x.groupBy(*keys).agg(F.sum("l").alias("misses"))
+    """Per chunk Σ p·exp(−Σpw), how much one more sample there is worth, and a bound on how fast that falls.
+
+    With the largest p of the chunk, and the misses and the objects of its target.
+    """
+    p_w = F.col("p") * F.col("w")
+    x = p.join(w, [*keys, "chunk_id"]).groupBy(*keys, "track_id").agg(F.exp(-F.sum(p_w)).alias("l"), F.sum("p").alias("s"))
+    pull = F.col("p") * F.col("l")
+    worth = p.join(x, [*keys, "track_id"]).groupBy(*keys, "chunk_id").agg(
+        F.sum(pull).alias("g"), F.sum(pull * F.col("s")).alias("fall"), F.max("p").alias("top"))
+    lost = x.groupBy(*keys).agg(F.sum("l").alias("misses"), F.count(F.lit(1)).alias("objects"))
     return w.join(worth, [*keys, "chunk_id"]).join(lost, list(keys))
 
 
@@ -29,41 +34,56 @@ def _exposed(p: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame
     return p.join(targets, list(keys))
 
 
-def optimal_allocation(p: DataFrame, targets: DataFrame, steps: int = 24, tolerance: float = 1e-3) -> DataFrame:
+def _proven(state: DataFrame, gap: Column, keys: Sequence[str], tolerance: float) -> bool:
+    """Whether no target could miss fewer by more than ``tolerance`` of its objects.
+
+    The misses are convex in the counts, so ``gap``, an aggregate over a target's chunks, bounds what is left to gain.
+    """
+    worst = state.groupBy(*keys).agg((gap / F.max("objects")).alias("__gap")).agg(F.max("__gap")).first()[0]
+    return worst is None or worst <= tolerance
+
+
+def optimal_allocation(p: DataFrame, targets: DataFrame, steps: int = 200, tolerance: float = 0.01) -> DataFrame:
     """Best sample counts per chunk for fixed totals.
 
     ``targets`` has (category, n).  Multiplicative steps on the simplex: a chunk's share grows with
-    the square root of its worth over the mean worth.  Stops when no target gains ``tolerance``.
+    the square root of its worth over the mean worth.  Ends when the duality gap of every target is at
+    most ``tolerance`` of its objects; an error tells when ``steps`` do not get there.
     """
     keys = ["category", "n"]
     rows = cut_lineage(_exposed(p, targets, ["category"]), "alloc-p")
     chunks = rows.select(*keys, "chunk_id").distinct()
     w = chunks.withColumn("w", F.col("n") / F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    previous = None
+    gap = F.max("g") * F.max("n") - F.sum(F.col("g") * F.col("w"))
     for _ in range(steps):
         state = cut_lineage(_pull(rows, w, keys), "alloc")
-        now = {(r.category, r.n): r.misses for r in state.select(*keys, "misses").distinct().collect()}
-        if previous is not None and all(previous[k] - v < tolerance for k, v in now.items()):
-            break
-        previous = now
+        if _proven(state, gap, keys, tolerance):
+            return state.select(*keys, "chunk_id", "w", "misses")
         grown = state.withColumn("__v", F.col("w") * F.sqrt("g"))
         total = grown.groupBy(*keys).agg(F.sum("__v").alias("__t"))
         w = grown.join(total, keys).select(*keys, "chunk_id", (F.col("__v") / F.col("__t") * F.col("n")).alias("w"))
-    return state.select(*keys, "chunk_id", "w", "misses")
+    raise RuntimeError(f"the gap is above {tolerance} of the objects after {steps} steps")
 
 
-def penalised_allocation(p: DataFrame, penalties: DataFrame, steps: int = 24) -> DataFrame:
+def penalised_allocation(p: DataFrame, penalties: DataFrame, steps: int = 200, tolerance: float = 0.01) -> DataFrame:
     """Sample counts that minimise penalty·Σw + misses, for (category, lam) rows.
 
-    At the optimum a used chunk's worth equals the penalty, so w moves by sqrt(worth/penalty).
+    At the optimum a used chunk's worth equals the penalty.  Every step moves all chunks by their distance to
+    that over a bound on the slope, no further than the exponentials can be trusted and not below zero.  Ends
+    like ``optimal_allocation``; the best total costs no more than the present one, which bounds it.
     """
     keys = ["category", "lam"]
     rows = cut_lineage(_exposed(p, penalties, ["category"]), "pen-p")
     w = rows.select(*keys, "chunk_id").distinct().withColumn("w", 1 / F.col("lam") / F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    most = F.least(F.max("objects") / F.max("lam"), F.sum("w") + F.max("misses") / F.max("lam"))
+    gap = F.sum((F.col("lam") - F.col("g")) * F.col("w")) + F.greatest(F.max("g") - F.max("lam"), F.lit(0.0)) * most
     for _ in range(steps):
         state = cut_lineage(_pull(rows, w, keys), "pen")
-        w = state.select(*keys, "chunk_id", (F.col("w") * F.sqrt(F.col("g") / F.col("lam"))).alias("w"))
-    return state.select(*keys, "chunk_id", "w", "misses")
+        if _proven(state, gap, keys, tolerance):
+            return state.select(*keys, "chunk_id", "w", "misses")
+        move = F.greatest(F.least((F.col("g") - F.col("lam")) / F.col("fall"), 2 / F.col("top")), -1 / F.col("top"))
+        w = state.select(*keys, "chunk_id", F.greatest(F.col("w") + move, F.lit(0.0)).alias("w"))
+    raise RuntimeError(f"the gap is above {tolerance} of the objects after {steps} steps")
 
 
 def uniform_match(p: DataFrame, targets: DataFrame, chunks: int, rounds: int = 6, parts: int = 32) -> DataFrame:
@@ -94,13 +114,16 @@ def penalty_grid(p: DataFrame, count: int = 8) -> DataFrame:
         "category", F.exp((1 - share) * F.log("a") + share * F.log("b")).alias("lam"))
 
 
-def bound_table(p: DataFrame, chunks: int, penalties: int = 8, steps: int = 24) -> DataFrame:
-    """Per penalty: optimal and uniform sample counts, their ratio, distance of the shares to uniform, recall."""
+def bound_table(p: DataFrame, chunks: int, penalties: int = 8, steps: int = 200) -> DataFrame:
+    """Per penalty: optimal and uniform sample counts, their ratio, distance of the shares to uniform, recall.
+
+    A penalty so high that it is best to take nothing has null ratio and distance.
+    """
     lam = penalty_grid(p, penalties)
     best = penalised_allocation(p, lam, steps)
     total = F.sum("w").over(Window.partitionBy("category", "lam"))
     even = 1.0 / chunks
-    shares = best.withColumn("__s", F.col("w") / total)
+    shares = best.withColumn("__s", F.try_divide("w", total))
     per = shares.groupBy("category", "lam").agg(
         F.sum("w").alias("opt_n"), F.first("misses").alias("misses"),
         F.sqrt(F.sum(F.pow(F.col("__s") - even, F.lit(2.0))) + (chunks - F.count(F.lit(1))) * even * even).alias("w_distance"))
@@ -108,5 +131,5 @@ def bound_table(p: DataFrame, chunks: int, penalties: int = 8, steps: int = 24)
     uniform = uniform_match(p, per.select("category", "target_id", "misses"), chunks)
     objects = p.groupBy("category").agg(F.count_distinct("track_id").alias("objects"))
     return per.join(uniform.drop("misses"), ["category", "target_id"]).join(objects, "category").select(
-        "category", "lam", "opt_n", "n_uniform", (F.col("n_uniform") / F.col("opt_n")).alias("ratio"), "w_distance",
+        "category", "lam", "opt_n", "n_uniform", F.try_divide("n_uniform", "opt_n").alias("ratio"), "w_distance",
         ((F.col("objects") - F.col("misses")) / F.col("objects")).alias("recall"))

@@ -8,13 +8,13 @@ from queries import views
 from queries.q_evaluate import runs
 from queries.q_stats import FOF, pm, rounded, slog
 from queries.registry import query
-from queries.views import CATEGORIES, VIDEO_LEN, det, det_big, det_skew, frames, usable, with_views
+from queries.views import CATEGORIES, det, det_big, det_skew, frames, usable, video_len, with_views
 
-views.define("tp", "SELECT category, track_id, count(*) / 4320.0::double AS p FROM usable GROUP BY ALL", "usable")
+views.define("tp", "SELECT category, track_id, count(*) / (SELECT count(*) FROM frames)::double AS p FROM usable GROUP BY ALL", "usable", "frames")
 
 
 def tp(spark, d):
-    return prep.track_totals(usable(spark, d)).select("category", "track_id", (F.col("track_length") / F.lit(4320.0)).alias("p"))
+    return prep.track_totals(usable(spark, d)).select("category", "track_id", (F.col("track_length") / F.lit(float(video_len(spark, d)))).alias("p"))
 
 
 STEPS = (1, 10, 100, 500, 3000)
@@ -28,7 +28,9 @@ def e1(spark, d):
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), "expected")
 
 
-GRID = sorted(set(E.step_grid(VIDEO_LEN)))
+#: Frames that the expectation is told for: 30 days of ten minutes each.
+HORIZON = 4320
+GRID = sorted(set(E.step_grid(HORIZON)))
 
 
 @query("E2_expected_by_class", with_views("tp", body=f"""
@@ -36,7 +38,7 @@ SELECT category AS object_class, n AS frames_inspected, round(sum(1 - exp(n * ln
   round(n / 4320, 8) AS sample_fraction, 4320::bigint AS num_frames, round(sum(1 - exp(n * ln(1 - p))) / count(*), 8) AS recall
 FROM tp, (SELECT unnest({GRID}::bigint[]) AS n) GROUP BY category, n"""))
 def e2(spark, d):
-    return rounded(rounded(E.expected_by_class(tp(spark, d), VIDEO_LEN), "n_ground_matched"), "sample_fraction", "recall", places=8)
+    return rounded(rounded(E.expected_by_class(tp(spark, d), HORIZON), "n_ground_matched"), "sample_fraction", "recall", places=8)
 
 
 HIST = """hist AS (SELECT bin, sum(c) AS h, min(lo) + bin * ln(1.2::double) AS ln_x FROM (
@@ -86,28 +88,55 @@ def e5_log(spark, d):
 
 
 def skew_p(spark, d):
-    return cut_lineage(stats.p_matrix(det_skew(spark, d), frames(spark)), "skew-p")
+    return cut_lineage(stats.p_matrix(det_skew(spark, d), frames(spark, d)), "skew-p")
 
 
 @query("E6_optimal_allocation")
 def e6(spark, d):
     p = skew_p(spark, d)
     targets = p.select("category").distinct().withColumn("n", F.explode(F.array(F.lit(300.0), F.lit(1500.0))))
-    return bounds.optimal_allocation(p, targets, steps=8)
+    return bounds.optimal_allocation(p, targets)
 
 
-@query("E7_uniform_match")
-def e7(spark, d):
+@query("E6_allocation_recount", with_views("det_skew", body="""
+SELECT category, n, n AS total, false AS negative, 0.0::double AS misses_off
+FROM (SELECT DISTINCT category FROM det_skew), (SELECT unnest([300::double, 1500]) AS n)"""))
+def e6_recount(spark, d):
+    """The counts add up to the target, none is negative, and the misses are those of the counts."""
     p = skew_p(spark, d)
+    targets = p.select("category").distinct().withColumn("n", F.explode(F.array(F.lit(300.0), F.lit(1500.0))))
+    best = cut_lineage(bounds.optimal_allocation(p, targets), "best")
+    lost = E.misses(p.join(targets, "category"), best.drop("misses"), ["category", "n"]).select("category", "n", F.col("misses").alias("again"))
+    told = best.groupBy("category", "n").agg(F.round(F.sum("w"), 6).alias("total"), (F.min("w") < 0).alias("negative"), F.max("misses").alias("misses"))
+    return told.join(lost, ["category", "n"]).select("category", "n", "total", "negative", F.round(F.abs(F.col("misses") - F.col("again")), 6).alias("misses_off"))
+
+
+def uniform_targets(p):
     objects = p.groupBy("category").agg(F.count_distinct("track_id").alias("t"))
-    targets = objects.select("category", F.explode(F.array(F.lit(.9), F.lit(.5), F.lit(.1))).alias("share"), "t").select(
+    return objects.select("category", F.explode(F.array(F.lit(.9), F.lit(.5), F.lit(.1))).alias("share"), "t").select(
         "category", F.col("share").cast("string").alias("target_id"), (F.col("share") * F.col("t")).alias("misses"))
-    return bounds.uniform_match(p, targets, 30)
+
+
+@query("E7_uniform_match")
+def e7(spark, d):
+    p = skew_p(spark, d)
+    return bounds.uniform_match(p, uniform_targets(p), 30)
+
+
+@query("E7_uniform_recount", with_views("det_skew", body="""
+SELECT category, cast(share AS varchar) AS target_id, round(share * t, 4) AS misses
+FROM (SELECT category, count(DISTINCT track_id) AS t FROM det_skew GROUP BY 1), (SELECT unnest([0.9::double, 0.5, 0.1]) AS share)"""))
+def e7_recount(spark, d):
+    """What is missed with the matching uniform counts: what was asked for."""
+    p = skew_p(spark, d)
+    found = bounds.uniform_match(p, uniform_targets(p), 30)
+    x = p.groupBy("category", "track_id").agg((F.sum("p") / 30).alias("x")).join(found, "category")
+    return x.groupBy("category", "target_id").agg(F.round(F.sum(F.exp(-F.col("n_uniform") * F.col("x"))), 4).alias("misses"))
 
 
 @query("E8_bound_table")
 def e8(spark, d):
-    return bounds.bound_table(skew_p(spark, d), 30, penalties=5, steps=8)
+    return bounds.bound_table(skew_p(spark, d), 30, penalties=5)
 
 
 XS = E.probability_grid(0.0005, 0.02, 1.3)

@@ -9,12 +9,13 @@ from queries import views
 from queries.q_orders import open_frames
 from queries.q_stats import rounded
 from queries.registry import query
-from queries.views import VIDEO_LEN, excluded, frames, hits, usable, with_views
+from queries.q_orders import AXIS
+from queries.views import excluded, frames, hits, usable, video_len, with_views
 
 SEEDS = 5
-LEVEL = "CASE " + " ".join(f"WHEN frame_id % {s} = (seed * 37) % {s} THEN {k}" for k, (s, _) in enumerate(orders.stride_levels(VIDEO_LEN))) + " END"
+LEVEL = "CASE " + " ".join(f"WHEN frame_id % {s} = (seed * 37) % {s} THEN {k}" for k, (s, _) in enumerate(orders.stride_levels(AXIS))) + " END"
 views.define("runs", f"""SELECT 'det' AS dataset, category AS object_class, method, method || '-' || seed AS experiment_id, nf,
-    cast(sum(new) OVER (PARTITION BY category, method, seed ORDER BY nf) AS bigint) AS ni, total_ni, cast(3456 AS bigint) AS total_nf
+    cast(sum(new) OVER (PARTITION BY category, method, seed ORDER BY nf) AS bigint) AS ni, total_ni, (SELECT count(*) FROM open_frames) AS total_nf
   FROM (SELECT category, method, seed, pos + 1 AS nf, count(*) AS new FROM (
     SELECT h.category, h.track_id, o.method, o.seed, min(o.pos) AS pos FROM hits h JOIN (
       SELECT method, seed, frame_id, row_number() OVER (PARTITION BY method, seed ORDER BY lvl, key) - 1 AS pos FROM (
@@ -37,9 +38,9 @@ def runs(spark, d):
 
 def _runs(spark, d):
     h = hits(spark, d)
-    seeded = open_frames(spark).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))))
+    seeded = open_frames(spark, d).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))))
     n = h.groupBy("frame_id").agg((-F.count(F.lit(1))).alias("neg"))
-    levels = orders.stride_levels(VIDEO_LEN)
+    levels = orders.stride_levels(AXIS)
     level = F.coalesce(*[F.when(F.col("frame_id") % s == (F.col("seed") * 37) % s, F.lit(k)) for k, (s, _) in enumerate(levels)])
     key = lambda m: F.md5(F.concat(F.lit(m), F.col("seed").cast("string"), F.lit(":"), F.col("frame_id").cast("string")))
     part = lambda df, m, lvl, k: df.select(F.lit(m).alias("method"), "seed", "frame_id", lvl.cast("long").alias("lvl"), key(k).alias("key"))
@@ -47,8 +48,8 @@ def _runs(spark, d):
         part(seeded.join(n, "frame_id", "left").fillna(0, ["neg"]), "scored", F.col("neg"), "s"))
     order_by = [F.col("lvl"), F.col("key")]
     order = running(rows, order_by, sampled_bucket(rows, order_by), by=["method", "seed"]).select("method", "seed", "frame_id", "pos")
-    curve = curves.discovery_curve(order, h, by=["method", "seed"], length=VIDEO_LEN)
-    totals = prep.category_totals(usable(spark, d), frames(spark), excluded(spark))
+    curve = curves.discovery_curve(order, h, by=["method", "seed"], length=video_len(spark, d))
+    totals = prep.category_totals(usable(spark, d), frames(spark, d), excluded(spark, d))
     return curve.join(totals, "category").select(
         F.lit("det").alias("dataset"), F.col("category").alias("object_class"), "method",
         F.concat_ws("-", "method", F.col("seed").cast("string")).alias("experiment_id"), "nf", "ni", "total_ni", "total_nf")
@@ -164,10 +165,10 @@ def v7(spark, d):
 
 
 @query("V8_scan_equivalent", with_views("runs", body="""
-SELECT dataset, object_class, median(ni) AS ni, median(nf) AS nf, max(total_ni) AS total_ni, max(total_nf) AS total_nf, 3456/200.0::double AS scan_time,
-  3456/200.0::double*20 AS random_eq, round(median(ni)/max(total_ni), 6) AS recall, round(median(nf)/20.0::double, 6) AS total_sec, round(median(nf)/max(total_nf), 6) AS fraction_data
+SELECT dataset, object_class, median(ni) AS ni, median(nf) AS nf, max(total_ni) AS total_ni, max(total_nf) AS total_nf, max(total_nf)/200.0::double AS scan_time,
+  max(total_nf)/200.0::double*20 AS random_eq, round(median(ni)/max(total_ni), 6) AS recall, round(median(nf)/20.0::double, 6) AS total_sec, round(median(nf)/max(total_nf), 6) AS fraction_data
 FROM (SELECT dataset, object_class, experiment_id, max(ni) AS ni, max(nf) AS nf, max(total_ni) AS total_ni, max(total_nf) AS total_nf
-  FROM runs WHERE method = 'random+' AND nf <= 3456/200.0::double*20 GROUP BY ALL) GROUP BY ALL"""))
+  FROM runs WHERE method = 'random+' AND nf <= total_nf/200.0::double*20 GROUP BY ALL) GROUP BY ALL"""))
 def v8(spark, d):
     r = runs(spark, d)
     scanned = r.groupBy("dataset").agg(F.max("total_nf").alias("frames"))
@@ -289,5 +290,5 @@ SELECT object_class, order_by, split, object_class || '_' || order_by || '_' ||
   (SELECT unnest(['random', 'random+']) AS order_by), (SELECT unnest(['nosplit', '30 min', '10 min']) AS split)"""))
 def q9(spark, d):
     grid = ev.config_grid(spark, object_class=views.CATEGORIES, order_by=["random", "random+"], split=["nosplit", "30 min", "10 min"])
-    totals = prep.category_totals(usable(spark, d), frames(spark), excluded(spark))
+    totals = prep.category_totals(usable(spark, d), frames(spark, d), excluded(spark, d))
     return grid.join(totals, grid.object_class == totals.category).select("object_class", "order_by", "split", "method", "total_ni")

@@ -4,10 +4,12 @@ from framesift.operators import orders, prep
 from framesift.plans import curves
 from queries import views
 from queries.registry import query
-from queries.views import (CATEGORIES, VIDEO_LEN, det, det_big, excluded, frames, frames_big, hits, patches, scores,
-                           table, usable, with_views)
+from queries.views import (CATEGORIES, det, det_big, excluded, frames, frames_big, hits, patches, scores,
+                           table, usable, video_len, with_views)
 
 OFFSET = 37
+#: Any axis of at least this many frames has the same levels, which start at every 256th frame.
+AXIS = 1024
 
 
 def level_sql(frame: str, size: int, offset: int = OFFSET) -> str:
@@ -15,23 +17,23 @@ def level_sql(frame: str, size: int, offset: int = OFFSET) -> str:
     return f"CASE {cases} END"
 
 
-def open_frames(spark):
-    return prep.remove_frames(frames(spark).select("frame_id"), excluded(spark))
+def open_frames(spark, d):
+    return prep.remove_frames(frames(spark, d).select("frame_id"), excluded(spark, d))
 
 
 views.define("open_frames", "SELECT frame_id FROM frames WHERE split = 'test'", "frames")
-views.define("plus_order", f"""SELECT frame_id, row_number() OVER (ORDER BY {level_sql('frame_id', VIDEO_LEN)}, md5('5:' || frame_id)) - 1 AS pos
+views.define("plus_order", f"""SELECT frame_id, row_number() OVER (ORDER BY {level_sql('frame_id', AXIS)}, md5('5:' || frame_id)) - 1 AS pos
   FROM open_frames""", "open_frames")
 
 
-def plus_order(spark):
-    return orders.stride_halving_order(open_frames(spark), VIDEO_LEN, seed=5, initial_offset=OFFSET)
+def plus_order(spark, d):
+    return orders.stride_halving_order(open_frames(spark, d), AXIS, seed=5, initial_offset=OFFSET)
 
 
 @query("O1_random_order", with_views("open_frames", body="""
 SELECT frame_id, row_number() OVER (ORDER BY md5('3:' || frame_id)) - 1 AS pos FROM open_frames"""))
 def o1(spark, d):
-    return orders.random_order(open_frames(spark), 3)
+    return orders.random_order(open_frames(spark, d), 3)
 
 
 @query("O1_random_order_large", """
@@ -48,18 +50,18 @@ def o2(spark, d):
 
 
 @query("O3_stride_halving_order", with_views("plus_order", body=f"""
-SELECT frame_id, {level_sql('frame_id', VIDEO_LEN)} AS level, pos FROM plus_order"""))
+SELECT frame_id, {level_sql('frame_id', AXIS)} AS level, pos FROM plus_order"""))
 def o3(spark, d):
-    return plus_order(spark)
+    return plus_order(spark, d)
 
 
 @query("O3_stride_halving_scored", with_views("scores", body=f"""
-SELECT frame_id, {level_sql('frame_id', VIDEO_LEN)} AS level,
-  row_number() OVER (ORDER BY {level_sql('frame_id', VIDEO_LEN)}, score DESC, md5('5:' || frame_id)) - 1 AS pos
+SELECT frame_id, {level_sql('frame_id', AXIS)} AS level,
+  row_number() OVER (ORDER BY {level_sql('frame_id', AXIS)}, score DESC, md5('5:' || frame_id)) - 1 AS pos
 FROM scores WHERE category = 'view'"""))
 def o3_scored(spark, d):
     s = scores(spark, d).where(F.col("category") == "view")
-    return orders.stride_halving_order(s, VIDEO_LEN, seed=5, score="score", initial_offset=OFFSET)
+    return orders.stride_halving_order(s, AXIS, seed=5, score="score", initial_offset=OFFSET)
 
 
 @query("O4_order_batches", with_views("plus_order", "det", body="""
@@ -68,7 +70,7 @@ SELECT frame_id, pos FROM (
   WHERE frame_id NOT IN (SELECT frame_id FROM det WHERE category = 'error')) WHERE pos BETWEEN 50 AND 149"""))
 def o4(spark, d):
     busy = det(spark, d).where(F.col("category") == "error").select("frame_id")
-    return orders.next_batch(plus_order(spark), 50, 100, excluded=busy).select("frame_id", "pos")
+    return orders.next_batch(plus_order(spark, d), 50, 100, excluded=busy).select("frame_id", "pos")
 
 
 @query("O5_rank_scores", with_views("det", body="""
@@ -100,7 +102,7 @@ def o9(spark, d):
 SELECT f.frame_id, f.chunk_id, row_number() OVER (PARTITION BY f.chunk_id ORDER BY o.pos) - 1 AS pos
 FROM plus_order o JOIN frames f ON f.frame_id = o.frame_id"""))
 def o10(spark, d):
-    return orders.chunk_queues(plus_order(spark), frames(spark)).select("frame_id", "chunk_id", "pos")
+    return orders.chunk_queues(plus_order(spark, d), frames(spark, d)).select("frame_id", "chunk_id", "pos")
 
 
 @query("O11_frame_score_order", with_views("hits", body="""
@@ -118,7 +120,7 @@ SELECT frame_id, round(score, 6) AS score FROM scores WHERE category = 'click' A
 ORDER BY scores.score DESC, frame_id LIMIT 50"""))
 def o12(spark, d):
     s = scores(spark, d).where(F.col("category") == "click")
-    return orders.top_unseen(s, excluded(spark), 50).select("frame_id", F.round("score", 6).alias("score"))
+    return orders.top_unseen(s, excluded(spark, d), 50).select("frame_id", F.round("score", 6).alias("score"))
 
 
 @query("O13_sampled_negatives", with_views("patches", extra="""
@@ -159,7 +161,7 @@ FROM (SELECT category, pos, count(*) AS new FROM (
 
 @query("Q7_discovery_curve", with_views("hits", "plus_order", body=CURVE))
 def q7(spark, d):
-    return curves.discovery_curve(plus_order(spark), hits(spark, d), length=VIDEO_LEN)
+    return curves.discovery_curve(plus_order(spark, d), hits(spark, d), length=video_len(spark, d))
 
 
 @query("Q7_discovery_curve_large", with_views("det_big", extra="""
@@ -170,7 +172,7 @@ def q7_large(spark, d):
     return curves.discovery_curve(order, det_big(spark, d))
 
 
-N_OPEN = VIDEO_LEN * 8 // 10
+N_OPEN = "(SELECT count(*) FROM open_frames)"
 views.define("graded", f"""
   SELECT category, s.ni AS ni, s.nf AS nf, s.seq AS seq FROM (
     SELECT category, unnest([{{'ni': ni - new, 'nf': b*10, 'seq': 2*b+1}}, {{'ni': ni, 'nf': least((b+1)*10, {N_OPEN}), 'seq': 2*b+2}}]) AS s
@@ -178,13 +180,13 @@ views.define("graded", f"""
       SELECT category, cast(floor(pos/10) AS bigint) AS b, count(*) AS new FROM (
         SELECT h.category, h.track_id, min(o.pos) AS pos FROM hits h JOIN plus_order o ON o.frame_id = h.frame_id GROUP BY ALL) GROUP BY ALL)))
   UNION ALL SELECT category, 0, 0, 0 FROM hits GROUP BY 1
-  UNION ALL SELECT category, count(DISTINCT track_id), {N_OPEN}, {2 * -(-N_OPEN // 10) + 1} FROM hits GROUP BY 1""", "hits", "plus_order")
+  UNION ALL SELECT category, count(DISTINCT track_id), {N_OPEN}, cast(2 * ceil({N_OPEN} / 10) + 1 AS bigint) FROM hits GROUP BY 1""", "hits", "plus_order")
 
 
 @query("Q3_graded_history", with_views("graded", body="""
 SELECT category, cast(ni AS bigint) AS ni, cast(nf AS bigint) AS nf, cast(seq AS bigint) AS seq FROM graded"""))
 def q3(spark, d):
-    return curves.graded_history(plus_order(spark), hits(spark, d), 10, N_OPEN)
+    return curves.graded_history(plus_order(spark, d), hits(spark, d), 10, open_frames(spark, d).count())
 
 
 @query("Q3_bad_frames", """
@@ -203,8 +205,8 @@ SELECT f.category, cast(f.ni AS bigint) AS ni, cast(f.nf AS bigint) AS nf, total
   round(f.ni/total_ni, 6) AS instance_f, round(f.nf/total_nf, 6) AS frame_f
 FROM flat f JOIN tot t ON t.category = f.category"""))
 def q6(spark, d):
-    h = curves.graded_history(plus_order(spark), hits(spark, d), 10, N_OPEN)
-    totals = prep.category_totals(usable(spark, d), frames(spark), excluded(spark))
+    h = curves.graded_history(plus_order(spark, d), hits(spark, d), 10, open_frames(spark, d).count())
+    totals = prep.category_totals(usable(spark, d), frames(spark, d), excluded(spark, d))
     out = curves.result_table(h, totals, ["category"])
     return out.withColumn("instance_f", F.round("instance_f", 6)).withColumn("frame_f", F.round("frame_f", 6))
 

@@ -5,7 +5,7 @@ from framesift.operators import chunking, prep
 from framesift.session import scratch_path
 from framesift.sources import dataset as D
 from queries.registry import query
-from queries.views import CATEGORIES, VIDEO_LEN, det, det_big, excluded, frames, hits, table, usable, with_views
+from queries.views import CATEGORIES, det, det_big, excluded, frames, hits, table, usable, video_len, with_views
 
 
 @query("S1_read_by_extension", "SELECT 'parquet' AS kind, count(*) AS n, cast(sum(event_id) AS bigint) AS ids FROM events "
@@ -40,7 +40,7 @@ def p1(spark, d):
 
 @query("P2_remove_excluded", with_views("frames", body="SELECT frame_id FROM frames WHERE split NOT IN ('train','val')"))
 def p2(spark, d):
-    return prep.remove_frames(frames(spark).select("frame_id"), excluded(spark))
+    return prep.remove_frames(frames(spark, d).select("frame_id"), excluded(spark, d))
 
 
 @query("P3_valid_tracks", with_views("det", body="""
@@ -63,7 +63,7 @@ def p4(spark, d):
 @query("K1_fixed_duration_chunks", with_views("frames", body="""
 SELECT frame_id, cast(floor(frame_id/1800) AS bigint) AS chunk_id FROM frames"""))
 def k1(spark, d):
-    return chunking.chunk_map(frames(spark), "1 minute")
+    return chunking.chunk_map(frames(spark, d), "1 minute")
 
 
 @query("K2_chunk_selectors", with_views("frames", "det", body="""
@@ -71,7 +71,7 @@ SELECT 'nosplit' AS selector, cast(0 AS bigint) AS chunk_id, count(*) AS n FROM
 UNION ALL SELECT 'default', cast(chunk_id AS bigint), count(*) FROM frames GROUP BY 2
 UNION ALL SELECT 'boxes in nosplit', cast(0 AS bigint), count(*) FROM det"""))
 def k2(spark, d):
-    f = frames(spark)
+    f = frames(spark, d)
     count = lambda m, s: m.groupBy(F.lit(s).alias("selector"), F.col("chunk_id").cast("long").alias("chunk_id")).agg(
         F.count(F.lit(1)).alias("n"))
     none = chunking.chunk_map(f, "nosplit")
@@ -130,9 +130,9 @@ def k7(spark, d):
 
 
 @query("K8_contiguous_parts", with_views("det", body="""
-SELECT cast(floor(frame_id/617) AS bigint) AS part, count(*) AS n, min(frame_id) AS first, max(frame_id) AS last FROM det GROUP BY 1"""))
+SELECT cast(floor(frame_id / ceil((SELECT max(frame_id) + 1 FROM det) / 7)) AS bigint) AS part, count(*) AS n, min(frame_id) AS first, max(frame_id) AS last FROM det GROUP BY 1"""))
 def k8(spark, d):
-    return det(spark, d).groupBy(chunking.contiguous_parts(F.col("frame_id"), VIDEO_LEN - 2, 7).alias("part")).agg(
+    return det(spark, d).groupBy(chunking.contiguous_parts(F.col("frame_id"), video_len(spark, d), 7).alias("part")).agg(
         F.count(F.lit(1)).alias("n"), F.min("frame_id").alias("first"), F.max("frame_id").alias("last"))
 
 
@@ -151,13 +151,13 @@ def k10(spark, d):
 
 
 @query("K11_tracks_of_frames", with_views("frames", "hits", body="""
-SELECT f.frame_id, coalesce(t, '') AS tracks, coalesce(n, 0) AS n FROM frames f LEFT JOIN (
+SELECT f.frame_id, 0 AS part, coalesce(t, '') AS tracks, coalesce(n, 0) AS n FROM frames f LEFT JOIN (
   SELECT frame_id, string_agg(cast(track_id AS varchar), ',' ORDER BY track_id) AS t, count(*) AS n
   FROM hits WHERE category = 'click' GROUP BY 1) h ON h.frame_id = f.frame_id"""))
 def k11(spark, d):
     h = hits(spark, d).where(F.col("category") == "click")
-    return prep.tracks_of_frames(h, frames(spark).select("frame_id")).select(
-        "frame_id", F.concat_ws(",", F.col("tracks").cast("array<string>")).alias("tracks"), F.size("tracks").cast("long").alias("n"))
+    return prep.tracks_of_frames(h, frames(spark, d).select("frame_id")).select(
+        "frame_id", "part", F.concat_ws(",", F.col("tracks").cast("array<string>")).alias("tracks"), F.size("tracks").cast("long").alias("n"))
 
 
 @query("K12_interval_frames", """
@@ -176,14 +176,14 @@ def k12(spark, d):
 @query("K13_frame_label_arrays", with_views("frames", "usable", extra="""coded AS (
   SELECT frame_id, category, dense_rank() OVER (PARTITION BY category ORDER BY track_id) AS c FROM usable),
 lists AS (SELECT frame_id, category, string_agg(cast(c AS varchar), ',' ORDER BY c) AS t FROM coded GROUP BY ALL)""", body="""
-SELECT f.frame_id, max(CASE WHEN category='click' THEN t END) AS click, max(CASE WHEN category='error' THEN t END) AS error,
+SELECT f.frame_id, 0 AS part, max(CASE WHEN category='click' THEN t END) AS click, max(CASE WHEN category='error' THEN t END) AS error,
   max(CASE WHEN category='purchase' THEN t END) AS purchase, max(CASE WHEN category='signup' THEN t END) AS signup,
   max(CASE WHEN category='view' THEN t END) AS "view"
 FROM frames f LEFT JOIN lists l ON l.frame_id = f.frame_id GROUP BY 1"""))
 def k13(spark, d):
-    wide = prep.frame_label_arrays(usable(spark, d), frames(spark), CATEGORIES)
+    wide = prep.frame_label_arrays(usable(spark, d), frames(spark, d), CATEGORIES)
     text = lambda c: F.when(F.col(c).isNotNull() & (F.size(c) > 0), F.concat_ws(",", F.col(c).cast("array<string>"))).alias(c)
-    return wide.select("frame_id", *[text(c) for c in CATEGORIES])
+    return wide.select("frame_id", "part", *[text(c) for c in CATEGORIES])
 
 
 @query("K14_group_offsets", """
@@ -218,4 +218,4 @@ def a2(spark, d):
 @query("Q11_category_totals", with_views("hits", "frames", body="""
 SELECT category, count(DISTINCT track_id) AS total_ni, (SELECT count(*) FROM frames WHERE split = 'test') AS total_nf FROM hits GROUP BY 1"""))
 def q11(spark, d):
-    return prep.category_totals(usable(spark, d), frames(spark), excluded(spark))
+    return prep.category_totals(usable(spark, d), frames(spark, d), excluded(spark, d))

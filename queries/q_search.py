@@ -10,28 +10,28 @@ from queries.views import CATEGORIES, det_skew, excluded, frames, with_views
 
 
 def skew_hits(spark, d):
-    return prep.usable_boxes(det_skew(spark, d), excluded(spark), CATEGORIES).select("category", "frame_id", "track_id").distinct()
+    return prep.usable_boxes(det_skew(spark, d), excluded(spark, d), CATEGORIES).select("category", "frame_id", "track_id").distinct()
 
 
 views.define("skew_hits", """SELECT DISTINCT category, frame_id, track_id FROM det_skew WHERE split = 'test' AND track_id IN (
   SELECT track_id FROM det_skew GROUP BY category, track_id HAVING count(*) >= 3)""", "det_skew")
 
 
-def queues(spark, seeds):
-    return S.make_queues(open_frames(spark), frames(spark), seeds)
+def queues(spark, d, seeds):
+    return S.make_queues(open_frames(spark, d), frames(spark, d), seeds)
 
 
 @query("Q8_chunk_queues_by_seed", with_views("open_frames", "frames", body="""
 SELECT 's' || seed AS order_id, chunk_id, frame_id, row_number() OVER (PARTITION BY seed, chunk_id ORDER BY md5(seed || ':' || frame_id)) - 1 AS pos
 FROM open_frames JOIN frames USING (frame_id), (SELECT unnest([21, 22, 23]) AS seed)"""))
 def q8(spark, d):
-    return queues(spark, {f"s{i}": i for i in (21, 22, 23)})
+    return queues(spark, d, {f"s{i}": i for i in (21, 22, 23)})
 
 
 def sweep(spark, d, names, seeds=(1, 2), batch=400, stop=S.Stop(results=0.9), **kw):
     """Every category × scorer × repetition as one search, up to 0.9 of the objects."""
     experiments = [S.Experiment(f"{c}|{s}|{i}", c, f"o{i}", s, seed=i) for c in CATEGORIES for s in names for i in seeds]
-    return S.start(queues(spark, {f"o{i}": i for i in seeds}), skew_hits(spark, d), experiments, batch, stop, **kw)
+    return S.start(queues(spark, d, {f"o{i}": i for i in seeds}), skew_hits(spark, d), experiments, batch, stop, **kw)
 
 
 @query("Q1_Q2_adaptive_search")
@@ -50,7 +50,7 @@ def q1_invariants(spark, d):
     S.run(s, max_steps=2)
     s = S.reopen(spark, s.path, s.experiments, s.batch, s.stop)
     S.run(s)
-    return S.invariants(s, queues(spark, {f"o{i}": i for i in (1, 2)}))
+    return S.invariants(s, queues(spark, d, {f"o{i}": i for i in (1, 2)}))
 
 
 @query("Q5_Q10_search_history")

@@ -8,7 +8,7 @@ from queries.q_detections import iou_sql, nms_sql, recursive
 from queries.q_orders import plus_order
 from queries.q_stats import rounded, slog
 from queries.registry import query
-from queries.views import CATEGORIES, VIDEO_LEN, det, excluded, frames, hits, patches, scores, table, with_views
+from queries.views import CATEGORIES, det, excluded, frames, hits, patches, scores, table, with_views
 
 views.define("smooth", """SELECT * FROM (SELECT a.category, a.frame_id, any_value(a.score) AS score,
     sum(b.score * exp(-0.5 * pow((b.frame_id - a.frame_id)/5.0::double, 2))) / sum(exp(-0.5 * pow((b.frame_id - a.frame_id)/5.0::double, 2))) AS smooth
@@ -142,10 +142,10 @@ def u2(spark, d):
 
 
 @query("U3_first_of_duplicates", """
-SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL""")
+SELECT l_suppkey, arg_min(l_partkey, (l_shipdate, l_orderkey, l_linenumber)) AS l_partkey FROM lineitem GROUP BY ALL""")
 def u3(spark, d):
     li = table(spark, d, "lineitem")
-    return li.groupBy("l_orderkey", "l_linenumber").agg(F.min_by("l_partkey", "l_partkey").alias("l_partkey"))
+    return li.groupBy("l_suppkey").agg(F.min_by("l_partkey", F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("l_partkey"))
 
 
 # Ranking metrics: truth = frame has a wide usable box of the class, score = best confidence rounded so that ties occur.
@@ -274,7 +274,7 @@ SELECT frame_id, level, row_number() OVER (ORDER BY level, rk) - 1 AS pos FROM (
 @query("O6_spaced_score_order", spaced_sql(8))
 def o6(spark, d):
     s = scores(spark, d).where("category = 'view'")
-    return greedy.spaced_score_order(s, excluded(spark), distance=8, block=1024).select("frame_id", "level", "pos")
+    return greedy.spaced_score_order(s, excluded(spark, d), distance=8, block=1024).select("frame_id", "level", "pos")
 
 
 @query("O7_gap_order")
@@ -294,7 +294,7 @@ events_ AS (SELECT q.category, q.frame_id AS event_id, q.pos FROM q JOIN (SELECT
 
 
 def graded_events(spark, d):
-    return greedy.grade_events(plus_order(spark), views.usable(spark, d), 2, GAP, block=1024)
+    return greedy.grade_events(plus_order(spark, d), views.usable(spark, d), 2, GAP, block=1024)
 
 
 @query("Q4_events", recursive(with_views("usable", "plus_order", extra=EVENTS, body="SELECT * FROM events_")))
@@ -310,6 +310,6 @@ def q4_repeats(spark, d):
 
 @query("Q4_event_history", recursive(with_views("usable", "plus_order", extra=EVENTS, body="""
 SELECT category, pos + 1 AS nf, row_number() OVER (PARTITION BY category ORDER BY pos) AS ni FROM events_
-UNION ALL SELECT category, 0, 0 FROM events_ GROUP BY 1 UNION ALL SELECT category, 3456, count(*) FROM events_ GROUP BY 1""")))
+UNION ALL SELECT category, 0, 0 FROM events_ GROUP BY 1 UNION ALL SELECT category, (SELECT count(*) FROM plus_order), count(*) FROM events_ GROUP BY 1""")))
 def q4_history(spark, d):
-    return greedy.event_history(graded_events(spark, d)[0], 3456)
+    return greedy.event_history(graded_events(spark, d)[0], plus_order(spark, d).count())

@@ -5,7 +5,7 @@ from framesift.operators import orders, prep, stats
 from queries import views
 from queries.q_orders import plus_order
 from queries.registry import query
-from queries.views import CATEGORIES, VIDEO_LEN, det, det_big, det_skew, frames, hits, patches, table, usable, with_views
+from queries.views import CATEGORIES, det, det_big, det_skew, frames, hits, patches, table, usable, with_views
 
 views.define("slog", """SELECT h.category AS experiment, f.frame_id, f.chunk_id, o.pos AS sample_id, t.track_id
   FROM (SELECT DISTINCT category FROM hits) h CROSS JOIN plus_order o JOIN frames f ON f.frame_id = o.frame_id
@@ -14,7 +14,7 @@ views.define("slog", """SELECT h.category AS experiment, f.frame_id, f.chunk_id,
 
 def slog(spark, d):
     """Log of a complete stride-halving scan, one experiment per category."""
-    q = plus_order(spark).join(frames(spark).select("frame_id", "chunk_id"), "frame_id")
+    q = plus_order(spark, d).join(frames(spark, d).select("frame_id", "chunk_id"), "frame_id")
     q = q.withColumnRenamed("pos", "sample_id").withColumn("experiment", F.explode(F.array(*map(F.lit, CATEGORIES))))
     h = hits(spark, d).withColumnRenamed("category", "experiment")
     return q.join(h, ["experiment", "frame_id"], "left")
@@ -56,19 +56,21 @@ def b4(spark, d):
 
 @query("B5_good_toulmin", with_views("slog", extra=FOF, body="""
 SELECT experiment, steps, round(-sum(f * pow(-steps / n, k)), 6) AS expected_new
-FROM (SELECT *, sum(k * f) OVER (PARTITION BY experiment) AS n FROM fof), (SELECT unnest([1::double, 10, 100, 400]) AS steps) GROUP BY ALL"""))
+FROM (SELECT *, sum(k * f) OVER (PARTITION BY experiment) AS n FROM fof), (SELECT unnest([1::double, 10, 100, 400]) AS steps) GROUP BY ALL
+UNION ALL SELECT DISTINCT event_type || ' unseen', steps, steps FROM events, (SELECT unnest([1::double, 10, 100, 400]) AS steps)"""))
 def b5(spark, d):
     fof = stats.counts_of_counts(slog(spark, d), ["experiment"])
-    return stats.good_toulmin(fof, [1, 10, 100, 400], ["experiment"]).withColumn("expected_new", F.round("expected_new", 6))
+    kinds = table(spark, d, "events").select(F.explode(F.array("event_type", F.concat("event_type", F.lit(" unseen")))).alias("experiment"))
+    return stats.good_toulmin(fof, [1, 10, 100, 400], ["experiment"], kinds).withColumn("expected_new", F.round("expected_new", 6))
 
 
-@query("B10_choice_shares", with_views("plus_order", "frames", body="""
-SELECT cast(n AS int) AS n, chunk_id, round(sum(CASE WHEN pos < n THEN 1 ELSE 0 END) / min(least(n, 3456)), 8) AS share
+@query("B10_choice_shares", with_views("plus_order", "frames", "open_frames", body="""
+SELECT cast(n AS int) AS n, chunk_id, round(sum(CASE WHEN pos < n THEN 1 ELSE 0 END) / min(least(n, (SELECT count(*) FROM open_frames))), 8) AS share
 FROM plus_order o JOIN frames f ON f.frame_id = o.frame_id, (SELECT unnest([100, 300, 600, 1000, 3000, 6000, 10000, 30000]) AS n)
 GROUP BY ALL"""))
 def b10(spark, d):
-    samples = plus_order(spark).join(frames(spark), "frame_id").select("pos", "chunk_id")
-    return stats.choice_shares(samples, frames(spark), [100, 300, 600, 1000, 3000, 6000, 10000, 30000]).withColumn(
+    samples = plus_order(spark, d).join(frames(spark, d), "frame_id").select("pos", "chunk_id")
+    return stats.choice_shares(samples, frames(spark, d), [100, 300, 600, 1000, 3000, 6000, 10000, 30000]).withColumn(
         "share", F.round("share", 8))
 
 
@@ -133,7 +135,7 @@ views.define("pm", """SELECT category, track_id, u.chunk_id, count(*) / max(s.n)
 
 
 def pm(spark, d):
-    return stats.p_matrix(usable(spark, d), frames(spark))
+    return stats.p_matrix(usable(spark, d), frames(spark, d))
 
 
 @query("A5_p_matrix", with_views("pm", body="SELECT category, track_id, chunk_id, round(p, 8) AS p FROM pm"))
@@ -166,7 +168,7 @@ views.define("psum", """SELECT g.category, g.chunk_id, coalesce(n, 0) AS n, mean
 
 
 def psum(spark, d):
-    return stats.chunk_p_summary(pm(spark, d), frames(spark))
+    return stats.chunk_p_summary(pm(spark, d), frames(spark, d))
 
 
 @query("A7_chunk_p_summary", with_views("psum", body="SELECT category, chunk_id, n, round(mean_p, 8) AS mean_p, round(sigma, 8) AS sigma FROM psum"))
@@ -178,7 +180,7 @@ def a7(spark, d):
 SELECT category, chunk_id, m.metric AS metric, round(m.value, 7) AS value FROM (SELECT category, chunk_id, unnest([
   {'metric': 'sum_p', 'value': s}, {'metric': 'std_p', 'value': sqrt(greatest(q/t - s/t*s/t, 0))}, {'metric': 'mean_p', 'value': s/t}, {'metric': 'n', 'value': n::double}]) AS m FROM psum)"""))
 def a8(spark, d):
-    return rounded(stats.chunk_p_long(pm(spark, d), frames(spark)), "value", places=7)
+    return rounded(stats.chunk_p_long(pm(spark, d), frames(spark, d)), "value", places=7)
 
 
 @query("A9_rank_chunks", with_views("psum", body="""

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from framesift.operators import prep
 
-VIDEO_LEN = 4320
 CATEGORIES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -42,19 +41,24 @@ def det_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det(spark, sf_dir).where(F.col("chunk_id").between(h, h + 3))
 
 
-def frames(spark: SparkSession) -> DataFrame:
-    f = spark.range(VIDEO_LEN).withColumnRenamed("id", "frame_id")
+def video_len(spark: SparkSession, sf_dir: str) -> int:
+    """Frames of the axis: up to the last one with a detection."""
+    return det(spark, sf_dir).agg(F.coalesce(F.max("frame_id") + 1, F.lit(0))).first()[0]
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = spark.range(video_len(spark, sf_dir)).withColumnRenamed("id", "frame_id")
     return f.withColumn("chunk_id", F.floor(F.col("frame_id") / 144).cast("int")).withColumn(
         "split", split_of(F.col("frame_id"))
     )
 
 
-def excluded(spark: SparkSession) -> DataFrame:
-    return frames(spark).where(F.col("split").isin("train", "val")).select("frame_id")
+def excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames(spark, sf_dir).where(F.col("split").isin("train", "val")).select("frame_id")
 
 
 def usable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.usable_boxes(det(spark, sf_dir), excluded(spark), CATEGORIES)
+    return prep.usable_boxes(det(spark, sf_dir), excluded(spark, sf_dir), CATEGORIES)
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +80,7 @@ def frames_big(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best confidence per (frame, category), 0 where the frame has none."""
     best = det(spark, sf_dir).groupBy("frame_id", "category").agg(F.max("confidence").alias("score"))
-    grid = frames(spark).select("frame_id", F.explode(F.array(*map(F.lit, CATEGORIES))).alias("category"))
+    grid = frames(spark, sf_dir).select("frame_id", F.explode(F.array(*map(F.lit, CATEGORIES))).alias("category"))
     return grid.join(best, ["frame_id", "category"], "left").fillna(0.0, ["score"])
 
 
@@ -105,10 +109,10 @@ _SQL = {
     "det_skew": ("""det_skew AS (
   SELECT * FROM det WHERE chunk_id BETWEEN cast(floor((track_id%30)*(track_id%30)/34) AS int)
                               AND cast(floor((track_id%30)*(track_id%30)/34) AS int) + 3)""", ("det",)),
-    "frames": (f"""frames AS (
+    "frames": ("""frames AS (
   SELECT i AS frame_id, cast(floor(i/144) AS int) AS chunk_id,
     CASE WHEN i%10=0 THEN 'train' WHEN i%10=1 THEN 'val' ELSE 'test' END AS split
-  FROM (SELECT unnest(range({VIDEO_LEN})) AS i))""", ()),
+  FROM (SELECT unnest(range((SELECT max(frame_id) + 1 FROM det))) AS i))""", ("det",)),
     "usable": ("""usable AS (
   SELECT * FROM det WHERE split = 'test' AND track_id IN (
     SELECT track_id FROM det GROUP BY category, track_id HAVING count(*) >= 3))""", ("det",)),
