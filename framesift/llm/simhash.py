@@ -277,7 +277,11 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, til
 
     All columns of ``docs`` come back unchanged.  Of repeated rows one stays.
     """
-    found = _grouped(docs, radius, width, tile)
+    return first_of_each(docs, _grouped(docs, radius, width, tile))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``root`` of ``found`` (doc_id, mark, root): that with its smallest doc_id."""
     same = found.groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows"))
     first = same.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "rows")).alias("pick"))
     picks = cut_lineage(first.select(F.col("pick.doc_id").alias("__id"), F.col("pick.mark").alias("__mark"), F.col("pick.rows").alias("__rows")), "picks")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framesift.llm import ann, common, decontam, langid, licenses, mixing, quality, queries, secrets, sharding, simhash, tokencount
+from framesift.llm import ann, common, decontam, langid, licenses, mixing, nearsets, quality, queries, secrets, sharding, simhash, tokencount
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -171,6 +171,66 @@ def test_components_of_graphs(spark):
     assert got == {n: find(n) for n in nodes}
 
 
+# near-duplicates by sets of shingles
+
+def brute_near_sets(texts, width=5):
+    """Smallest id of each group linked by a Jaccard similarity of 0.8 or more; ``texts`` is id to text."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k: k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+    ids = sorted(sets)
+    label = {i: i for i in ids}
+    pairs = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1:] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    while True:
+        before = dict(label)
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            return set(label.values())
+
+
+def planted_copies():
+    """Texts of 40 to 300 words with copies around a similarity of 0.8, chains of them, and a crowded group."""
+    rng = np.random.default_rng(17)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    texts = []
+    for n in rng.integers(40, 300, 60):
+        w = word(n)
+        texts.append(w)
+        for changed in (1, max(1, n // 60), max(1, n // 50), max(1, n // 40), max(1, n // 30), n // 10):
+            v = list(w)
+            for at in rng.choice(n, changed, replace=False):
+                v[at] = "changed"
+            texts.append(v)
+    base = word(200)
+    for _ in range(150):
+        v = list(base)
+        for at in rng.choice(200, 3, replace=False):
+            v[at] = str(rng.integers(10**6))
+        texts.append(v)
+    for k in range(12):
+        texts.append(base[8 * k:] + [f"x{j}" for j in range(8 * k)])
+    rng.shuffle(order := list(range(len(texts))))
+    return {i: " ".join(texts[k]) for i, k in enumerate(order)}
+
+
+def test_near_duplicate_stage_equals_brute_force_jaccard(spark, docs):
+    for texts in ({r.doc_id: r.text for r in docs.collect()}, planted_copies()):
+        df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], DOC)
+        kept = corpus_pipeline.deduplicated(spark, df, SF)
+        assert kept.columns == df.columns
+        got = [r.doc_id for r in kept.collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_near_sets(texts)
+
+
+def test_near_duplicate_stage_edges(spark, odd):
+    kept = nearsets.one_of_each(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 3, 6, 7, 8]
+    assert nearsets.one_of_each(empty(spark)).count() == 0
+
+
 # language
 
 def test_gradient_of_the_network():
