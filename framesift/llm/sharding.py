@@ -23,8 +23,8 @@ SHARDS, ROUNDS = 8, 20
 #: Rows that one task numbers at most, about.
 NUMBERED = 100_000
 #: A shard counts as filled by a key that holds this share of its capacity, and as closed where fewer wishes than
-#: the second share can be granted; moves stop below the last share of all rows.
-FILLED, CLOSED, SETTLED = 0.98, 0.05, 0.0005
+#: the second share can be granted.
+FILLED, CLOSED = 0.98, 0.05
 
 
 def _numbered(rows: DataFrame, group: str, total: int, name: str) -> DataFrame:
@@ -103,7 +103,8 @@ def assign(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
             # The rows that want to go there look for the next best shard at once.
             closed |= full
             continue
-        if sum(n * share[b] for (_, b), n in wanted.items()) < max(1, SETTLED * total):
+        # Settled only where not one linked row has a move granted, however many rows there are.
+        if sum(n * share[b] for (_, b), n in wanted.items()) < 1:
             break
         granted = F.element_at(F.array(*[F.lit(share[s]) for s in range(shards)]), F.col("wish") + 1)
         drawn = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)

@@ -75,6 +75,15 @@ def test_more_linked_rows_than_any_shard_holds(spark):
     assert sorted(sizes.values()) == [12, 12, 12, 13, 13, 13, 13, 13]
 
 
+def test_few_linked_rows_in_a_large_table_meet(spark):
+    """Six pairs and a group of three among 30,000 rows: what is settled does not depend on the rows without links."""
+    key = F.when(F.col("id") < 12, F.array(F.concat(F.lit("p"), (F.col("id") % 6).cast("string")))).when(F.col("id") < 15, F.array(F.lit("three")))
+    got = sharding.assign(spark.range(30_000).select(F.col("id").alias("row"), key.alias("keys")), 8).collect()
+    where = {r.row: r.shard for r in got}
+    assert set(Counter(where.values()).values()) == {3750}
+    assert all(where[i] == where[i + 6] for i in range(6)) and where[12] == where[13] == where[14]
+
+
 def test_shard_edges(spark, odd):
     got = sharding.sharded(odd).collect()
     assert len(got) == len(odd_rows()) and {r.size for r in got if r.text_crc32 == 0} == {1}
