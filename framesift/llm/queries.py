@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import ann, decontam, langid, licenses, mixing, quality, secrets, sharding, simhash, tokencount
+from framesift.llm import ann, decontam, langid, licenses, mixing, packing, quality, secrets, sharding, simhash, tokencount
 from framesift.llm.common import arrow_batches, held_out, table
 
 
@@ -62,6 +62,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_batches(spark)
+    return packing.packed(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_sharding, op2_secrets, op3_quality, op4_simhash, op5_mixing, op6_language, op7_token_counts, op8_neighbours, op9_licences, op10_decontamination)}
+    op1_sharding, op2_secrets, op3_quality, op4_simhash, op5_mixing, op6_language, op7_token_counts, op8_neighbours, op9_licences, op10_decontamination,
+    op13_packing)}
 ORACLES: dict[str, str] = {"op5_mixing": mixing.sql()}
