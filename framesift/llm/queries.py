@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import ann, decontam, langid, licenses, mixing, packing, quality, ranked, secrets, sharding, simhash, tokencount
+from framesift.llm import alignment, ann, decontam, langid, licenses, mixing, packing, quality, ranked, secrets, sharding, simhash, tokencount
 from framesift.llm.common import arrow_batches, held_out, table
 
 
@@ -62,6 +62,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_batches(spark)
+    return alignment.scored(table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_batches(spark)
     return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -75,5 +80,5 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_sharding, op2_secrets, op3_quality, op4_simhash, op5_mixing, op6_language, op7_token_counts, op8_neighbours, op9_licences, op10_decontamination,
-    op12_ranked_search, op13_packing)}
+    op11_alignment, op12_ranked_search, op13_packing)}
 ORACLES: dict[str, str] = {"op5_mixing": mixing.sql(), "op12_ranked_search": ranked.sql()}
