@@ -13,6 +13,7 @@ to the corpus, because values of a marginal below a least share are joined into
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,21 +28,29 @@ LEAST = 0.0001
 #: Cycles at most, cycles in one job, and the change of any cell at which raking ends.
 CYCLES, PER_JOB, TOLERANCE = 60, 4, 1e-9
 OTHER, NONE = "(other)", "(none)"
-#: Topics by the first rule that a text meets.
+#: Topics by the first rule that a text meets: name, pattern, and texts of which whatever the pattern matches
+#: holds one, in lower case.  Patterns start with what is rare and take time in proportion to the text.
 TOPICS = (
-    ("licence", r"(?i)licen[cs]ed? under|released under the|copyright"),
-    ("credentials", r"(?i)(?:token|secret|password|api_?key)\s*[=:]\s*\S{8}"),
-    ("table", r"(?:\|[^|\n]{1,80}){4}"),
-    ("symbols", r"(?:\S*[%$&*#]{3}\s+){3}"),
-    ("contact", r"[\w.+-]+@[\w-]+\.\w+"),
+    ("licence", r"(?i)licen[cs]ed? under|released under the|copyright", ("under", "copyright")),
+    ("credentials", r"(?i)(?:token|secret|password|api_?key)\s*[=:]\s*\S{8}", ("token", "secret", "password", "apikey", "api_key")),
+    ("table", r"(?:\|[^|\n]{1,80}){4}", ("|",)),
+    ("symbols", r"[%$&*#]{3}\s+\S*[%$&*#]{3}\s+\S*[%$&*#]{3}\s+", ()),
+    ("contact", r"[\w.+-]@[\w-]+\.\w", ("@",)),
 )
 
 
-def topic_of(text: Column, rules: Sequence[tuple[str, str]] = TOPICS, rest: str = "prose") -> Column:
-    """Name of the first rule whose pattern the text holds; a null or blank text is (none)."""
+def topic_of(text: Column, rules: Sequence[tuple[str, str, Sequence[str]]] = TOPICS, rest: str = "prose") -> Column:
+    """Name of the first rule whose pattern the text holds; a null or blank text is (none).
+
+    A pattern runs only over texts that hold one of its needles, which is a plain byte search.
+    """
     out = F.when(text.isNull() | ~text.rlike(r"\S"), F.lit(NONE))
-    for name, pattern in rules:
-        out = out.when(text.rlike(pattern), F.lit(name))
+    low = F.lower(text)
+    for name, pattern, needles in rules:
+        held = text.rlike(pattern)
+        if needles:
+            held = reduce(lambda a, b: a | b, [F.contains(low, F.lit(n)) for n in needles]) & held
+        out = out.when(held, F.lit(name))
     return out.otherwise(F.lit(rest))
 
 
@@ -91,7 +100,7 @@ def rake(cells: DataFrame, margins: Sequence[str] = MARGINS, keep: float = KEEP,
 
 
 def mixed(docs: DataFrame, keep: float = KEEP, temper: float = TEMPER, seed: int = 11,
-          targets: Mapping[str, Mapping[str, float]] | None = None, topics: Sequence[tuple[str, str]] = TOPICS) -> tuple[DataFrame, DataFrame]:
+          targets: Mapping[str, Mapping[str, float]] | None = None, topics: Sequence[tuple[str, str, Sequence[str]]] = TOPICS) -> tuple[DataFrame, DataFrame]:
     """(rows, cells): per row of ``docs`` mark, doc_id, cell and draw; per cell tokens, raked tokens and probability.
 
     Tokens are runs of other than white space.  A null text has none: its cell weighs nothing and, as
@@ -127,7 +136,7 @@ def sampled(docs: DataFrame, **settings) -> DataFrame:
     return met.select("doc_id", *MARGINS, "tokens", F.round("probability", 6).alias("probability"), (F.col("draw") < F.round("probability", 6)).alias("kept"))
 
 
-def mixture(docs: DataFrame, seed: int = 11, topics: Sequence[tuple[str, str]] = TOPICS, **settings) -> DataFrame:
+def mixture(docs: DataFrame, seed: int = 11, topics: Sequence[tuple[str, str, Sequence[str]]] = TOPICS, **settings) -> DataFrame:
     """The rows of ``docs`` that the sample keeps, with all their columns unchanged."""
     rows, cells = mixed(docs, seed=seed, topics=topics, **settings)
     values = {m: [r[0] for r in cells.select(m).distinct().collect()] for m in ("source", "lang")}
@@ -142,12 +151,12 @@ def mixture(docs: DataFrame, seed: int = 11, topics: Sequence[tuple[str, str]] =
     return keyed.join(table, on, "left_semi").drop("__s", "__l", "__t", "__d")
 
 
-def sql(keep: float = KEEP, temper: float = TEMPER, seed: int = 11, cycles: int = CYCLES, topics: Sequence[tuple[str, str]] = TOPICS, docs: str = "documents") -> str:
+def sql(keep: float = KEEP, temper: float = TEMPER, seed: int = 11, cycles: int = CYCLES, topics: Sequence[tuple[str, str, Sequence[str]]] = TOPICS, docs: str = "documents") -> str:
     """DuckDB SQL with the rows of ``sampled`` for default targets."""
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    rules = " ".join(f"WHEN regexp_matches(text, {quoted(p)}) THEN {quoted(n)}" for n, p in topics)
+    rules = " ".join(f"WHEN regexp_matches(text, {quoted(p)}) THEN {quoted(n)}" for n, p, _ in topics)
     fold = lambda m: f"CASE WHEN count(*) OVER (PARTITION BY {m}) >= {LEAST} * count(*) OVER () THEN {m} ELSE '{OTHER}' END AS {m}"
     one = f"""s0 AS (SELECT source, lang, topic, tokens::DOUBLE AS tokens, tokens::DOUBLE * {keep} AS raked,
         {", ".join(f"pow(sum(tokens) OVER (PARTITION BY {m}) / sum(tokens) OVER (), {temper}) AS share_{m}, count(*) OVER (PARTITION BY {m}) AS rows_{m}" for m in MARGINS)}
