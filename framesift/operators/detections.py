@@ -164,9 +164,11 @@ def best_overlaps(left: DataFrame, right: DataFrame, by: Sequence[str], left_key
 
 
 def near_pairs(new: DataFrame, old: DataFrame, by: Sequence[str], key: str, back: int, iou_at_least: float,
-               tile: float = 64.0) -> DataFrame:
+               tile: float = 64.0, least_gap: int = 1) -> DataFrame:
     """Range join: boxes against boxes of the previous ``back`` frames, same key, IoU at least the limit (above 0).
 
+    With ``least_gap`` 0 boxes of the same frame meet too, themselves included.
+
     Equi-join on (key, frame block, tile of the plane); the older side is copied to the blocks it can
     meet.  Only boxes that share a tile meet, and a pair is kept in the tile where its overlap
     starts, so no distinct is needed.
@@ -186,7 +188,7 @@ def near_pairs(new: DataFrame, old: DataFrame, by: Sequence[str], key: str, back
     o = tiled(old, "old").withColumn("__b", F.explode(F.array(at, at + 1)))
     gap = F.col("new_frame") - F.col("old_frame")
     starts = (F.floor(F.greatest("n_xmin", "o_xmin") / tile) == F.col("__x")) & (F.floor(F.greatest("n_ymin", "o_ymin") / tile) == F.col("__y"))
-    met = n.join(o, [*by, "__b", "__x", "__y"]).where((gap >= 1) & (gap <= back) & starts)
+    met = n.join(o, [*by, "__b", "__x", "__y"]).where((gap >= least_gap) & (gap <= back) & starts)
     overlap = B.iou(B.box("n_"), B.box("o_"))
     return met.withColumn("iou", overlap).where(F.col("iou") >= iou_at_least).select(*by, "new_id", "new_frame", "old_id", "old_frame", "iou")
 

@@ -143,12 +143,51 @@ def t2(spark, d):
     return D.suppress(det(spark, d), 0.2, by=["frame_id"]).select("event_id", "kept")
 
 
-@query("T3_simple_linker")
+def linker_sql(name, rules, by, source="det", confidence="confidence"):
+    """Views that end in ``name`` (event_id, tid, suppressed): frame after frame, all ways to match a frame's boxes with the live tracks."""
+    keys = ", ".join(by)
+    same = " AND ".join(f"f.{k} = w.{k}" for k in by)
+    box = "id BIGINT, tid BIGINT, frame BIGINT, conf DOUBLE, xmin DOUBLE, ymin DOUBLE, xmax DOUBLE, ymax DOUBLE"
+    dead = f"f.frame_id - l.frame >= {rules.grace}" if rules.expire_at_grace else f"f.frame_id - l.frame > {rules.grace}"
+    none = 1 << 62
+    if rules.suppress_above is None:
+        kept, off, goes_on = "dets", "FALSE", "dets"
+    else:
+        order = f"list_sort(list_transform(range(1, len(dets) + 1), lambda i: {{'s': CASE WHEN k[i] < {none} THEN -1.5 ELSE -dets[i].conf END, 'id': dets[i].id, 'd': dets[i]}}))"
+        kept = f"""list_reduce({order}, lambda acc, x: CASE WHEN len(list_filter(acc, lambda a: {iou_sql('a.', 'x.d.')} > {rules.suppress_above})) > 0
+          THEN acc ELSE list_append(acc, x.d) END, []::STRUCT({box})[])"""
+        off = f"k[i] = {none} AND (dets[i].conf <= {rules.start_above} OR NOT list_contains(kept_ids, dets[i].id))"
+        goes_on = "dets"
+    return f"""
+{name}_frames AS (SELECT {keys}, frame_id, row_number() OVER (PARTITION BY {keys} ORDER BY frame_id) AS step, dets FROM (
+  SELECT {keys}, frame_id, list({{'id': event_id, 'tid': event_id, 'frame': frame_id, 'conf': {confidence}, 'xmin': xmin, 'ymin': ymin, 'xmax': xmax, 'ymax': ymax}} ORDER BY event_id) AS dets
+  FROM {source} GROUP BY {keys}, frame_id)),
+{name}_walk AS (
+  SELECT DISTINCT {keys}, 0::BIGINT AS step, []::STRUCT({box})[] AS live, []::STRUCT(id BIGINT, tid BIGINT, off BOOLEAN)[] AS outs FROM {source}
+  UNION ALL
+  SELECT {keys}, step, list_concat(list_filter(live, lambda l: NOT list_contains(k, l.tid)),
+      list_transform(list_filter(range(1, len(dets) + 1), lambda i: NOT outs[i].off), lambda i: {{'id': dets[i].id, 'tid': outs[i].tid, 'frame': dets[i].frame, 'conf': dets[i].conf,
+        'xmin': dets[i].xmin, 'ymin': dets[i].ymin, 'xmax': dets[i].xmax, 'ymax': dets[i].ymax}})) AS live, outs
+  FROM (SELECT *, list_transform(range(1, len(dets) + 1), lambda i: {{'id': dets[i].id, 'tid': CASE WHEN k[i] < {none} THEN k[i] ELSE dets[i].id END, 'off': {off}}}) AS outs
+    FROM (SELECT *, list_transform({kept}, lambda x: x.id) AS kept_ids
+      FROM (SELECT *, list_sort(list_transform(list_reduce(dets, lambda acc, d: flatten(list_transform(acc, lambda p: list_concat(
+            [{{'t': p.t, 'k': list_append(p.k, {none})}}],
+            list_transform(list_filter(live, lambda l: {iou_sql('d.', 'l.')} >= {rules.iou_min} AND NOT list_contains(p.k, l.tid)), lambda l: {{'t': p.t + {iou_sql('d.', 'l.')}, 'k': list_append(p.k, l.tid)}})))),
+          [{{'t': 0::DOUBLE, 'k': []::BIGINT[]}}]), lambda p: {{'t': -round(p.t, 9), 'k': p.k}}))[1].k AS k
+        FROM (SELECT {", ".join("f." + x for x in by)}, f.step, f.dets, list_filter(w.live, lambda l: NOT ({dead})) AS live
+          FROM {name}_walk w JOIN {name}_frames f ON {same} AND f.step = w.step + 1))))),
+{name} AS (SELECT o.id AS event_id, o.tid AS tid, o.off AS suppressed FROM (SELECT unnest(outs) AS o FROM {name}_walk))"""
+
+
+@query("T3_simple_linker", recursive(with_views("det", extra=linker_sql("simple", K.SIMPLE, ["category"]), body="SELECT * FROM simple")))
 def t3(spark, d):
     return K.link_tracks(det(spark, d), K.SIMPLE)
 
 
-@query("T4_T5_confident_linker")
+LIVELY = "CASE WHEN track_id % 3 = 0 THEN 0.5 ELSE 0.995 END"
+
+
+@query("T4_T5_confident_linker", recursive(with_views("det", extra=linker_sql("confident", K.CONFIDENT, ["chunk_id", "category"], confidence=LIVELY), body="SELECT * FROM confident")))
 def t4(spark, d):
     lively = det(spark, d).withColumn("confidence", F.when(F.col("track_id") % 3 == 0, 0.5).otherwise(0.995))
     return K.link_tracks(lively, K.CONFIDENT, partition_by=["chunk_id"])
