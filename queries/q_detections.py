@@ -144,26 +144,32 @@ def t2(spark, d):
 
 
 def linker_sql(name, rules, by, source="det", confidence="confidence"):
-    """Views that end in ``name`` (event_id, tid, suppressed): frame after frame, all ways to match a frame's boxes with the live tracks."""
+    """Views that end in ``name`` (event_id, tid, suppressed): frame after frame, all ways to match a frame's boxes with the live tracks.
+
+    Stretches between gaps that no track outlives are walked side by side.
+    """
+    split, gap = ", ".join(by), f">= {rules.grace}" if rules.expire_at_grace else f"> {rules.grace}"
+    by = [*by, "seg"]
     keys = ", ".join(by)
     same = " AND ".join(f"f.{k} = w.{k}" for k in by)
     box = "id BIGINT, tid BIGINT, frame BIGINT, conf DOUBLE, xmin DOUBLE, ymin DOUBLE, xmax DOUBLE, ymax DOUBLE"
-    dead = f"f.frame_id - l.frame >= {rules.grace}" if rules.expire_at_grace else f"f.frame_id - l.frame > {rules.grace}"
+    dead = f"f.frame_id - l.frame {gap}"
     none = 1 << 62
     if rules.suppress_above is None:
-        kept, off, goes_on = "dets", "FALSE", "dets"
+        kept, off = "dets", "FALSE"
     else:
         order = f"list_sort(list_transform(range(1, len(dets) + 1), lambda i: {{'s': CASE WHEN k[i] < {none} THEN -1.5 ELSE -dets[i].conf END, 'id': dets[i].id, 'd': dets[i]}}))"
         kept = f"""list_reduce({order}, lambda acc, x: CASE WHEN len(list_filter(acc, lambda a: {iou_sql('a.', 'x.d.')} > {rules.suppress_above})) > 0
           THEN acc ELSE list_append(acc, x.d) END, []::STRUCT({box})[])"""
         off = f"k[i] = {none} AND (dets[i].conf <= {rules.start_above} OR NOT list_contains(kept_ids, dets[i].id))"
-        goes_on = "dets"
     return f"""
+{name}_rows AS (SELECT *, sum(fresh) OVER (PARTITION BY {split} ORDER BY frame_id)::BIGINT AS seg FROM (
+  SELECT *, CASE WHEN frame_id - lag(frame_id) OVER (PARTITION BY {split} ORDER BY frame_id) {gap} THEN 1 ELSE 0 END AS fresh FROM {source})),
 {name}_frames AS (SELECT {keys}, frame_id, row_number() OVER (PARTITION BY {keys} ORDER BY frame_id) AS step, dets FROM (
   SELECT {keys}, frame_id, list({{'id': event_id, 'tid': event_id, 'frame': frame_id, 'conf': {confidence}, 'xmin': xmin, 'ymin': ymin, 'xmax': xmax, 'ymax': ymax}} ORDER BY event_id) AS dets
-  FROM {source} GROUP BY {keys}, frame_id)),
+  FROM {name}_rows GROUP BY {keys}, frame_id)),
 {name}_walk AS (
-  SELECT DISTINCT {keys}, 0::BIGINT AS step, []::STRUCT({box})[] AS live, []::STRUCT(id BIGINT, tid BIGINT, off BOOLEAN)[] AS outs FROM {source}
+  SELECT DISTINCT {keys}, 0::BIGINT AS step, []::STRUCT({box})[] AS live, []::STRUCT(id BIGINT, tid BIGINT, off BOOLEAN)[] AS outs FROM {name}_rows
   UNION ALL
   SELECT {keys}, step, list_concat(list_filter(live, lambda l: NOT list_contains(k, l.tid)),
       list_transform(list_filter(range(1, len(dets) + 1), lambda i: NOT outs[i].off), lambda i: {{'id': dets[i].id, 'tid': outs[i].tid, 'frame': dets[i].frame, 'conf': dets[i].conf,
@@ -184,13 +190,17 @@ def t3(spark, d):
     return K.link_tracks(det(spark, d), K.SIMPLE)
 
 
+def lively(boxes):
+    """Two tracks of three are sure enough to start."""
+    return boxes.withColumn("confidence", F.when(F.col("track_id") % 3 == 0, 0.5).otherwise(0.995))
+
+
 LIVELY = "CASE WHEN track_id % 3 = 0 THEN 0.5 ELSE 0.995 END"
 
 
 @query("T4_T5_confident_linker", recursive(with_views("det", extra=linker_sql("confident", K.CONFIDENT, ["chunk_id", "category"], confidence=LIVELY), body="SELECT * FROM confident")))
 def t4(spark, d):
-    lively = det(spark, d).withColumn("confidence", F.when(F.col("track_id") % 3 == 0, 0.5).otherwise(0.995))
-    return K.link_tracks(lively, K.CONFIDENT, partition_by=["chunk_id"])
+    return K.link_tracks(lively(det(spark, d)), K.CONFIDENT, partition_by=["chunk_id"])
 
 
 def near_sql(back, limit):
@@ -204,20 +214,27 @@ def j7(spark, d):
     return rounded(D.near_pairs(x, x, ["category"], "event_id", 5, 0.2).drop("category"), "iou", places=8)
 
 
-@query("T6_relational_linker", recursive(with_views("det", extra=near_sql(30, 0.5) + """,
+def relational_sql():
+    return near_sql(30, 0.5) + """,
 bo AS (SELECT new_id, arg_max(old_id, (iou, old_frame, -old_id)) AS old_id FROM pairs GROUP BY 1),
 bn AS (SELECT old_id, arg_max(new_id, (iou, -new_frame, -new_id)) AS new_id FROM pairs GROUP BY 1),
 mutual AS (SELECT bo.new_id, bo.old_id FROM bo JOIN bn ON bo.old_id = bn.old_id AND bo.new_id = bn.new_id),
 chain AS (SELECT event_id, event_id AS tid FROM det WHERE event_id NOT IN (SELECT new_id FROM mutual)
-  UNION ALL SELECT m.new_id, c.tid FROM chain c JOIN mutual m ON m.old_id = c.event_id)""", body="SELECT event_id, tid FROM chain")))
+  UNION ALL SELECT m.new_id, c.tid FROM chain c JOIN mutual m ON m.old_id = c.event_id)"""
+
+
+@query("T6_relational_linker", recursive(with_views("det", extra=relational_sql(), body="SELECT event_id, tid FROM chain")))
 def t6(spark, d):
     return K.link_relational(det(spark, d), ["category"], "event_id", 30, 0.5)
 
 
-@query("T7_compare_linkers")
+@query("T7_compare_linkers", recursive(with_views("det", extra=linker_sql("simple", K.SIMPLE, ["category"]) + "," + linker_sql("confident", K.CONFIDENT, ["chunk_id", "category"], confidence=LIVELY) + "," + relational_sql(), body="""
+SELECT linker, track_length, count(*) AS freq FROM (
+  SELECT 'simple' AS linker, count(*) AS track_length FROM simple GROUP BY tid UNION ALL SELECT 'confident', count(*) FROM confident GROUP BY tid
+  UNION ALL SELECT 'relational', count(*) FROM chain GROUP BY tid) GROUP BY ALL""")))
 def t7(spark, d):
     x = det(spark, d)
-    return K.compare_trackers({"simple": K.link_tracks(x, K.SIMPLE), "confident": K.link_tracks(x, K.CONFIDENT),
+    return K.compare_trackers({"simple": K.link_tracks(x, K.SIMPLE), "confident": K.link_tracks(lively(x), K.CONFIDENT, partition_by=["chunk_id"]),
                                "relational": K.link_relational(x, ["category"], "event_id", 30, 0.5)})
 
 

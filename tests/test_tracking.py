@@ -117,3 +117,47 @@ def test_tracks_stay_inside_partitions(spark):
     df = spark.createDataFrame(still(range(10)), SCHEMA).withColumn("part", F.floor(F.col("frame_id") / 5))
     got = {r.event_id: r.tid for r in K.link_tracks(df, K.SIMPLE, partition_by=["part"]).collect()}
     assert set(got.values()) == {0, 5}
+
+
+def test_of_equal_assignments_the_first_rows_get_the_smallest_columns():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n, m = rng.integers(1, 5, 2)
+        gain = rng.integers(0, 3, (n, m)) / 2
+        ways = []
+        for cols in itertools.product(range(m + 1), repeat=n):  # m stands for no column
+            used = [c for c in cols if c < m]
+            if len(set(used)) == len(used) and all(gain[r, c] > 0 for r, c in enumerate(cols) if c < m):
+                ways.append((-sum(gain[r, c] for r, c in enumerate(cols) if c < m), cols))
+        best = min(ways)[1]
+        assert K.settled_assignment(gain) == [(r, c) for r, c in enumerate(best) if c < m]
+
+
+def test_equal_boxes_in_a_frame_keep_their_order(spark):
+    rows = [(10 * f + k, "a", f, 0.0, 0.0, 10.0, 10.0, 1.0) for f in range(4) for k in range(3)] + [(99, "a", 4, 0.0, 0.0, 10.0, 10.0, 1.0)]
+    got = {r.event_id: r.tid for r in K.link_tracks(spark.createDataFrame(rows, SCHEMA), K.SIMPLE).collect()}
+    assert got == {**{10 * f + k: k for f in range(4) for k in range(3)}, 99: 0}
+
+
+def test_one_busy_camera_is_many_components(spark):
+    """Sixty objects that never meet, in one stream and category: as many components, none larger than one track."""
+    rows = [(100 * f + k, "a", f, 100.0 * (k % 10) + f, 100.0 * (k // 10), 100.0 * (k % 10) + f + 40, 100.0 * (k // 10) + 40, 1.0) for f in range(20) for k in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    sizes = K.connected(K.linkable(df, K.SIMPLE, ["category"], "event_id")).groupBy("root").count().collect()
+    assert len(sizes) == 60 and {r["count"] for r in sizes} == {20}
+    assert all(r.tid == r.event_id % 100 for r in K.link_tracks(df, K.SIMPLE).collect())
+
+
+def test_linking_nothing_and_lonely_boxes(spark):
+    assert K.link_tracks(spark.createDataFrame([], SCHEMA), K.CONFIDENT).count() == 0
+    rows = [(1, "a", 0, 0.0, 0.0, 9.0, 9.0, 0.5), (2, "a", 99, 0.0, 0.0, 9.0, 9.0, 1.0), (3, "b", 0, 0.0, 0.0, 9.0, 9.0, None)]
+    got = {r.event_id: (r.tid, r.suppressed) for r in K.link_tracks(spark.createDataFrame(rows, SCHEMA), K.CONFIDENT).collect()}
+    assert got == {1: (1, True), 2: (2, False), 3: (3, True)}
+
+
+def test_components_of_a_graph(spark):
+    edges = [(5, 3), (3, 9), (1, 2), (2, 1), (7, 7), (20, 21), (21, 22), (22, 23), (23, 20), *((100, 101 + i) for i in range(50)), *((200 + i, 201 + i) for i in range(40))]
+    got = {r.node: r.root for r in K.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {3: 3, 5: 3, 9: 3, 1: 1, 2: 1, **{i: 20 for i in range(20, 24)}, **{i: 100 for i in range(100, 151)}, **{i: 200 for i in range(200, 241)}}
+    assert got == want
+    assert K.connected(spark.createDataFrame([], "a long, b long")).count() == 0
