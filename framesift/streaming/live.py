@@ -6,52 +6,102 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from framesift.functions.boxes import CORNERS
 from framesift.operators.tracking import LiveTracks, Linking, link_frame
 
-STATE = "tid array<long>, box array<double>, last array<long>, frame long"
+#: Boxes of a frame that wait for it to be over, and the last box of each live track.
+FRAME, ROWS = "frame long", "id array<long>, box array<double>, score array<double>, over long"
+LIVE = "tid array<long>, box array<double>, last array<long>"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def link_stream(boxes: DataFrame, rules: Linking, key: str = "event_id", stream: str = "stream", delay: str = "10 minutes",
-                frame_seconds: float = 1.0) -> DataFrame:
-    """Online linking of a box stream: (stream, key, tid, suppressed).
+def ordered_state(spark: SparkSession) -> None:
+    """Linking keeps its state by frame, for which the session's streams need this state store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
-    State per (stream, category) is the last box of each live track, dropped once the event-time
-    watermark is a grace period past it.  Rows behind the watermark, and frames before the last one
-    linked, come too late and are dropped.
+
+class FrameLinker(StatefulProcessor):
+    """Holds every frame of a key back until the watermark passes its end, then links it.
+
+    Frames are linked in their order and whole, whatever order their boxes came in.
     """
-    by = [stream, "category"]
-    out = T.StructType([T.StructField(stream, boxes.schema[stream].dataType), T.StructField(key, T.LongType()),
-                        T.StructField("tid", T.LongType()), T.StructField("suppressed", T.BooleanType())])
-    wait_ms = int(rules.grace * frame_seconds * 1000)
-
-    def link(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+
+    def __init__(self, rules: Linking, key: str, by: Sequence[str], idle_ms: int):
+        self.rules, self.key, self.by, self.idle_ms = rules, key, list(by), idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", FRAME, ROWS)
+        self.live = handle.getValueState("live", LIVE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        if any(k is None for k in key):  # a closing row has no key
             return
-        live, done = LiveTracks(), -1
-        if state.exists:
-            tid, box, last, done = state.get
+        whole = pd.concat(list(rows))
+        for frame, part in whole.groupby("frame_id", sort=True):
+            at = (int(frame),)
+            ids, box, score = part[self.key].tolist(), part[list(CORNERS)].to_numpy(float).ravel().tolist(), part["confidence"].astype(float).tolist()
+            over = int(part["over"].max().timestamp() * 1000)
+            if self.waiting.containsKey(at):
+                held = self.waiting.getValue(at)
+                ids, box, score, over = list(held[0]) + ids, list(held[1]) + box, list(held[2]) + score, max(over, held[3])
+            else:
+                self.handle.registerTimer(over)
+            self.waiting.updateValue(at, (ids, box, score, over))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        due = sorted((k[0], v) for k, v in self.waiting.iterator() if v[3] <= now)
+        live = LiveTracks()
+        if self.live.exists():
+            tid, box, last = self.live.get()
             live = LiveTracks(np.array(tid, np.int64), np.array(box, float).reshape(-1, 4), np.array(last, np.int64))
-        rows = pd.concat(list(batches)).sort_values(["frame_id", key], kind="stable")
-        rows = rows[rows["frame_id"] > done]
-        for frame, part in rows.groupby("frame_id", sort=True):
-            ids = part[key].to_numpy()
-            tids, off = link_frame(live, rules, int(frame), ids, part[list(CORNERS)].to_numpy(), part["confidence"].to_numpy())
-            done = int(frame)
-            yield pd.DataFrame({stream: group[0], key: ids, "tid": tids, "suppressed": off})
-        state.update((live.tid.tolist(), live.box.ravel().tolist(), live.last.tolist(), done))
-        if len(rows):
-            newest = int(rows["ts"].max().timestamp() * 1000)
-            state.setTimeoutTimestamp(max(newest + wait_ms, state.getCurrentWatermarkMs() + 1))
-
-    timed = boxes.withWatermark("ts", delay).select(*by, "ts", "frame_id", key, *CORNERS, "confidence")
-    return timed.groupBy(*by).applyInPandasWithState(link, out, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        if not due:
+            # Its last frame is a grace period old: no track of this key can go on.
+            if self.live.exists() and not any(True for _ in self.waiting.keys()):
+                self.live.clear()
+            return
+        for frame, (ids, box, score, _) in due:
+            order = np.argsort(np.array(ids, np.int64), kind="stable")
+            ids, box, score = np.array(ids, np.int64)[order], np.array(box, float).reshape(-1, 4)[order], np.array(score, float)[order]
+            tids, off = link_frame(live, self.rules, frame, ids, box, score)
+            self.waiting.removeKey((frame,))
+            yield pd.DataFrame({**dict(zip(self.by, key)), self.key: ids, "tid": tids, "suppressed": off})
+        self.live.update((live.tid.tolist(), live.box.ravel().tolist(), live.last.tolist()))
+        self.handle.registerTimer(max(due[-1][1][3], now) + self.idle_ms)
+
+    def close(self) -> None:
+        pass
+
+
+def link_stream(boxes: DataFrame, rules: Linking, over: Column, key: str = "event_id", by: Sequence[str] = ("stream", "category"),
+                delay: str = "10 minutes", frame_seconds: float = 1.0) -> DataFrame:
+    """Online linking of a box stream: (by…, key, tid, suppressed), the rows that ``link_tracks`` gives.
+
+    ``over`` is the time at which a box's frame ends.  A frame is linked once the watermark, ``delay`` behind the
+    latest such time, has passed it: until then boxes may come in any order and over any number of
+    micro-batches, and only boxes of frames already linked come too late and are dropped.  State per key is
+    the frames that wait and the last box of each live track, which goes when no track can go on.
+    The session needs ``ordered_state``; a finished stream gives out its last frames after a
+    ``closing_row``.
+    """
+    kinds = [T.StructField(c, boxes.schema[c].dataType) for c in by]
+    out = T.StructType([*kinds, T.StructField(key, T.LongType()), T.StructField("tid", T.LongType()), T.StructField("suppressed", T.BooleanType())])
+    rows = boxes.select(*by, over.alias("over"), "frame_id", key, *CORNERS, "confidence").withWatermark("over", delay)
+    processor = FrameLinker(rules, key, by, int((rules.grace + 1) * frame_seconds * 1000))
+    return rows.groupBy(*by).transformWithStateInPandas(processor, out, "append", "EventTime")
+
+
+def closing_row(rows: DataFrame, ts: str = "ts", after: str = "100 years") -> DataFrame:
+    """One row of nulls but for a time far behind all of ``rows``: as a stream's last row it moves the watermark past all that is open."""
+    last = rows.agg((F.max(ts) + F.expr(f"interval {after}")).alias(ts))
+    return last.select(*[F.col(ts) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
 
 
 def count_stream(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:

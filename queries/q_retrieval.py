@@ -6,6 +6,7 @@ from framesift.operators import tracking as K
 from framesift.session import scratch_path
 from framesift.streaming import live
 from queries import views
+from queries.q_detections import linker_sql, recursive
 from queries.q_stats import rounded
 from queries.registry import query
 from queries.views import det, hits, patches, table, with_views
@@ -90,13 +91,19 @@ def r10(spark, d):
     return rounded(a.unionByName(R.positive_weight(p, pooled_by="frame_id").withColumn("kind", F.lit("image"))), "pos_weight", places=8)
 
 
-def stream_of(spark, df, label, slices=5, files=4):
-    """The rows as a file stream, one slice of the time axis per micro-batch, earlier slices first."""
+def stream_of(spark, df, label, slices=5, files=4, late=0, closing=False):
+    """The rows as a file stream, one slice of the time axis per micro-batch, earlier slices first.
+
+    Rows come up to ``late`` seconds after their time, so out of order; ``closing`` ends the stream with a closing row.
+    """
     path = scratch_path(spark, label)
-    lo, hi = df.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()
-    at = F.least(F.floor((F.col("ts").cast("double") - lo) / ((hi - lo) / slices)), F.lit(slices - 1))
+    came = F.col("ts").cast("double") + (F.pmod(F.xxhash64("event_id"), F.lit(late)) if late else F.lit(0))
+    lo, hi = df.agg(F.min(came), F.max(came)).first()
+    at = F.least(F.floor((came - lo) / ((hi - lo) / slices)), F.lit(slices - 1))
     for i in range(slices):
         df.where(at == i).repartition(files).write.mode("append").parquet(path)
+    if closing:
+        live.closing_row(df).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
@@ -112,11 +119,17 @@ def timed(spark, d):
     return det(spark, d).join(ts, "event_id")
 
 
-@query("Z1_link_stream")
+@query("Z1_link_stream", recursive(with_views("det", extra=linker_sql("linked", K.SIMPLE, ["stream", "category"], source="(SELECT *, track_id % 2 AS stream FROM det)"), body="""
+SELECT event_id, tid, suppressed FROM linked""")))
 def z1(spark, d):
+    """Boxes that come up to 50 minutes late, five frames, and in the order of a hash."""
+    live.ordered_state(spark)
     boxes = timed(spark, d).withColumn("stream", F.col("track_id") % 2)
-    source = stream_of(spark, boxes, "boxes")
-    return drain(live.link_stream(source, K.SIMPLE, frame_seconds=600.0), spark, "linked")
+    source = stream_of(spark, boxes, "boxes", late=3000, closing=True)
+    over = F.timestamp_seconds((F.col("frame_id") + 2840113) * 600)
+    # A closing row has no frame; its time is far behind all others as it is.
+    linked = live.link_stream(source, K.SIMPLE, F.coalesce(over, F.col("ts")), delay="1 hour", frame_seconds=600.0)
+    return drain(linked, spark, "linked").select("event_id", "tid", "suppressed")
 
 
 @query("Z2_live_chunk_stats", with_views("det", body="""
@@ -131,23 +144,27 @@ def z2(spark, d):
     return live.current_chunk_stats(spark, out)
 
 
-SESSIONS = """SELECT category, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 7200000000 AS "end", count(*) AS n FROM (
+SESSIONS = """SELECT category, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 1800000000 AS "end", count(*) AS n FROM (
   SELECT *, sum(new) OVER (PARTITION BY category ORDER BY ts) AS s FROM (
-    SELECT event_type AS category, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) < INTERVAL 7200 SECOND THEN 0 ELSE 1 END AS new
-    FROM events WHERE value > 120)) GROUP BY category, s"""
+    SELECT event_type AS category, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) < INTERVAL 1800 SECOND THEN 0 ELSE 1 END AS new
+    FROM events)) GROUP BY category, s"""
 
 
 def positives(spark, d):
-    return table(spark, d, "events").where("value > 120").select(F.col("event_type").alias("category"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    return table(spark, d, "events").select(F.col("event_type").alias("category"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+
+
+def as_micros(s):
+    return s.select("category", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
 
 
 @query("Z3_event_sessions", SESSIONS)
 def z3(spark, d):
-    s = live.event_sessions(positives(spark, d), "7200 seconds")
-    return s.select("category", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
+    return as_micros(live.event_sessions(positives(spark, d), "1800 seconds"))
 
 
-@query("Z3_event_sessions_stream")
+@query("Z3_event_sessions_stream", SESSIONS)
 def z3_stream(spark, d):
-    source = stream_of(spark, positives(spark, d), "positives")
-    return drain(live.event_sessions(source, "7200 seconds", "1 hour"), spark, "sessions")
+    """The same sessions of a stream whose rows come up to 50 minutes late; a closing row ends those still open."""
+    source = stream_of(spark, positives(spark, d), "positives", late=3000, closing=True)
+    return as_micros(drain(live.event_sessions(source, "1800 seconds", "1 hour"), spark, "sessions"))
