@@ -16,6 +16,7 @@ hold the pair linked, and whether that is the most of any pair with that first i
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,7 +30,9 @@ from framesift.session import cut_lineage
 
 BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Products formed at once, bytes of text at a time, segments and their longest length that a task remembers.
-AT_ONCE, AT_A_TIME, REMEMBERED, LONGEST = 1 << 20, 1 << 20, 250_000, 64
+AT_ONCE, AT_A_TIME, REMEMBERED, LONGEST = 1 << 20, 1 << 20, 150_000, 64
+#: Segments encoded at once, bits of one count among those that are added up as one number, and text bytes of a batch that leaves a task.
+SEGMENTS, FIELD, LEAVING = 10_000, 48, 2 << 20
 #: Pairs in at least one of so many of all (document, pair) rows are broadcast: so there are at most that many.
 HOT = 1 << 18
 
@@ -95,7 +98,8 @@ def byte_incidence(sizes: np.ndarray) -> Csr:
 def groups_of(sizes_a: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Group number of every token of both, and how many groups there are."""
     ends_a, ends_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
-    cut = np.intersect1d(ends_a, ends_b)
+    # Both rise, and both end with the text.
+    cut = ends_a[ends_b[np.searchsorted(ends_b, ends_a)] == ends_a]
     return np.searchsorted(cut, ends_a), np.searchsorted(cut, ends_b), len(cut)
 
 
@@ -127,11 +131,15 @@ class Pair:
             self.bytes_a[i] = bytes(byte_of[ord(c)] for c in entry) if plain else entry.encode()
         piece = self.b.id_to_piece
         self.bytes_b = [bytes([int(piece(i)[3:-1], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.width_b)]
+        self.size_a, self.size_b = (np.array(list(map(len, table)), np.int64) for table in (self.bytes_a, self.bytes_b))
+        self.starts_a, self.starts_b = (np.array([x[:1] == b" " for x in table]) for table in (self.bytes_a, self.bytes_b))
+        # Ids as text, with the mark that follows them inside a group and at the end of their side of it.
+        self.shown = [np.array([f"{i}{mark}" for i in range(width)], object) for width, marks in ((self.width_a, ",|"), (self.width_b, ",;")) for mark in marks]
         self.seen: dict[str, tuple | None] = {}
 
     def tokens(self, segments: list[str]) -> list[tuple[list[int], list[int]] | None]:
         """Ids by both of segments that begin with a space; None where their bytes are not the segment's."""
-        ids_a = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
+        ids_a = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
         ids_b = self.b.encode([s[1:] for s in segments], num_threads=1)
         out = []
         for s, a, b in zip(segments, ids_a, ids_b):
@@ -140,43 +148,72 @@ class Pair:
             out.append((a, b) if same else None)
         return out
 
+    def joined(self, segments: list[str]) -> tuple[np.ndarray, ...] | None:
+        """(ids, ids, ends, ends) of segments encoded as one text, where only segments begin with a space; None if bytes differ."""
+        text = "".join(segments)
+        raw = text.encode()
+        a = np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        b = np.array(self.b.encode(text[1:]), np.int64)
+        if b"".join([self.bytes_a[i] for i in a.tolist()]) != raw or b"".join([self.bytes_b[i] for i in b.tolist()]) != raw:
+            return None
+        want = np.cumsum([0, *[len(s.encode()) for s in segments]])
+        ends = []
+        for ids, sizes, starts in ((a, self.size_a, self.starts_a), (b, self.size_b, self.starts_b)):
+            at = np.concatenate([np.flatnonzero(starts[ids]), [len(ids)]])
+            if not np.array_equal(np.concatenate([[0], np.cumsum(sizes[ids])])[at], want):
+                return None
+            ends.append(at[1:])
+        return a, b, *ends
+
     def align(self, segments: list[str]) -> dict[str, tuple | None]:
-        """Per segment (tokens, tokens, groups, links, shared-group links, groups as text, pair codes as bytes), or None."""
-        found = self.tokens(segments)
-        good = [t for t in found if t]
-        out: dict[str, tuple | None] = {s: None for s, t in zip(segments, found) if not t}
-        if not good:
-            return out
-        a, b = (np.array([i for t in good for i in t[k]], np.int64) for k in (0, 1))
-        size_a, size_b = (np.array([len(table[i]) for i in ids.tolist()], np.int64) for table, ids in ((self.bytes_a, a), (self.bytes_b, b)))
+        """Per segment (counts, groups as text, pair codes as bytes), or None where the bytes differ; see ``unpacked``."""
+        out: dict[str, tuple | None] = {}
+        single, plain = [], []
+        for s in segments:
+            (plain if len(s) > 1 and " " not in s[1:] and "▁" not in s and not _blank(s[1]) and not _blank(s[-1]) else single).append(s)
+        got = self.joined(plain) if plain else None
+        if got:
+            out.update(self.entries(plain, *got))
+        else:
+            single = segments
+        found = self.tokens(single)
+        out.update((s, None) for s, t in zip(single, found) if not t)
+        good = [(s, t) for s, t in zip(single, found) if t]
+        if good:
+            a, b = (np.array([i for _, t in good for i in t[k]], np.int64) for k in (0, 1))
+            out.update(self.entries([s for s, _ in good], a, b, *[np.cumsum([len(t[k]) for _, t in good]) for k in (0, 1)]))
+        return out
+
+    def entries(self, segments: list[str], a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> Iterator[tuple[str, tuple]]:
+        """What ``align`` gives, from the ids of segments end to end and where each segment's tokens end."""
+        size_a, size_b = self.size_a[a], self.size_b[b]
         group_a, group_b, count = groups_of(size_a, size_b)
         rows, codes = [], []
         for row, column, _ in byte_incidence(size_a).times(byte_incidence(size_b).transposed()):
             rows.append(row)
             codes.append(a[row] * self.width_b + b[column])
-        row, code = np.concatenate(rows), np.concatenate(codes)
+        row = np.concatenate(rows)
+        code = np.concatenate(codes).astype(np.int32 if self.width_a * self.width_b < 1 << 31 else np.int64)
         shared = np.concatenate([[0], np.cumsum(group_incidence(group_a, count).products(group_incidence(group_b, count).transposed()))])
-        first_a, first_b = np.searchsorted(group_a, np.arange(count + 1)), np.searchsorted(group_b, np.arange(count + 1))
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        fa, fb = first_a.tolist(), first_b.tolist()
-        shown = [",".join(text_a[fa[g]: fa[g + 1]]) + "|" + ",".join(text_b[fb[g]: fb[g + 1]]) for g in range(count)]
+        # Each group's first ids, then its second ones, every id with the mark that follows it.
+        text = np.empty(len(a) + len(b), object)
+        before_b, upto_a = np.searchsorted(group_b, group_a), np.searchsorted(group_a, group_b, "right")
+        for ids, group, place, inner, last in ((a, group_a, np.arange(len(a)) + before_b, *self.shown[:2]), (b, group_b, np.arange(len(b)) + upto_a, *self.shown[2:])):
+            final = np.append(group[1:] != group[:-1], True)
+            text[place[~final]] = inner[ids[~final]]
+            text[place[final]] = last[ids[final]]
+        parts, raw, width = text.tolist(), code.tobytes(), code.itemsize
         # Segments end where groups end, so each has whole groups and links.
-        end_a = np.cumsum([len(t[0]) for t in good])
         end_group = group_a[end_a - 1] + 1
         end_link = np.searchsorted(row, end_a)
-        at_a = at_group = at_link = 0
-        kind = np.int32 if self.width_a * self.width_b < 1 << 31 else np.int64
-        code = code.astype(kind)
-        ok = iter(zip(end_a.tolist(), end_group.tolist(), end_link.tolist()))
-        for s, t in zip(segments, found):
-            if t:
-                za, zg, zl = next(ok)
-                out[s] = (len(t[0]), len(t[1]), zg - at_group, zl - at_link, int(shared[za] - shared[at_a]), ";".join(shown[at_group:zg]), code[at_link:zl].tobytes())
-                at_a, at_group, at_link = za, zg, zl
-        return out
+        at_a = at_b = at_group = at_link = at_shared = 0
+        for s, za, zb, zg, zl, zs in zip(segments, end_a.tolist(), end_b.tolist(), end_group.tolist(), end_link.tolist(), shared[end_a].tolist()):
+            counts = za - at_a | (zb - at_b) << FIELD | (zg - at_group) << 2 * FIELD | (zl - at_link) << 3 * FIELD | (zs - at_shared) << 4 * FIELD
+            yield s, (counts, "".join(parts[at_a + at_b: za + zb]), raw[width * at_link: width * zl])
+            at_a, at_b, at_group, at_link, at_shared = za, zb, zg, zl, zs
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple | None]:
-        """What ``align`` gives, of each whole text; None for one without tokens."""
+        """(counts, groups as text, pair codes as bytes) of each whole text; None for one without tokens."""
         i = 0
         while i < len(texts):
             size, cut = 0, []
@@ -184,20 +221,29 @@ class Pair:
                 cut.append(segments_of(texts[i]) if texts[i] else [])
                 size += len(texts[i] or "")
                 i += 1
-            seen, new = self.seen, list(set().union(*cut).difference(self.seen))
-            known = {}
-            for k in range(0, len(new), 20_000):
-                known.update(self.align(new[k: k + 20_000]))
-            if len(seen) + len(known) > REMEMBERED:
-                self.seen = {}
+            here = set().union(*cut)
+            new = list(here.difference(self.seen))
+            for k in range(0, len(new), SEGMENTS):
+                self.seen.update(self.align(new[k: k + SEGMENTS]))
+            get = self.seen.__getitem__
             for segments in cut:
-                held = [seen[s] if s in seen else known[s] for s in segments]
+                held = list(map(get, segments))
                 if not held or None in held:
                     yield None
                 else:
-                    a, b, groups, links, shared, shown, codes = zip(*held)
-                    yield sum(a), sum(b), sum(groups), sum(links), sum(shared), ";".join(shown), b"".join(codes)
-            self.seen.update((s, x) for s, x in known.items() if len(s) <= LONGEST)
+                    counts, shown, codes = zip(*held)
+                    yield sum(counts), "".join(shown)[:-1], b"".join(codes)
+            if len(self.seen) > REMEMBERED:  # what was just met is likely to be met again
+                self.seen = {s: self.seen[s] for s in here if len(s) <= LONGEST}
+
+
+def unpacked(counts: int) -> list[int]:
+    """Tokens of both, groups, links and shared-group links of one number that holds them side by side."""
+    return [counts >> k * FIELD & (1 << FIELD) - 1 for k in range(4)] + [counts >> 4 * FIELD]
+
+
+#: A space beside other white space, or white space at an end: a text with single spaces only is cut at each.
+_UNEVEN = re.compile(r"\A[\s\u180e]|[\s\u180e]\Z| [\s\u180e]|[\s\u180e] ")
 
 
 def _blank(c: str) -> bool:
@@ -207,7 +253,7 @@ def _blank(c: str) -> bool:
 def segments_of(text: str) -> list[str]:
     """A space and the text, cut before every single space between two characters that are no white space."""
     words = text.split(" ")
-    if not any(not w or _blank(w[0]) or _blank(w[-1]) for w in words):
+    if not _UNEVEN.search(text):
         return [" " + w for w in words]
     out, before = [" " + words[0]], words[0]
     for w in words[1:]:
@@ -247,19 +293,21 @@ def aligned(docs: DataFrame, first: str = BYTES, second: str = PIECES) -> DataFr
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers = _pair(first, second)
-        for b in batches:
-            texts = [_read(t) for t in b.column(1).to_pylist()]
-            counts, shown, codes, times = [], [], [], []
-            for x in tokenizers.texts(texts):
-                counts.append(x[:5] if x else (0,) * 5)
-                shown.append(x[5] if x else "")
-                c, n = np.unique(np.frombuffer(x[6], number), return_counts=True) if x else (np.zeros(0, number), np.zeros(0, np.int64))
-                codes.append(c)
-                times.append(n)
-            offsets = pa.array(np.cumsum([0, *map(len, codes)]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, k), *x]).astype(k))) for x, k in ((codes, number), (times, np.int32))]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *[pa.array([c[k] for c in counts], pa.int64()) for k in range(5)], pa.array(shown, pa.string()), *lists], names)
+        for whole in batches:
+            sizes = np.cumsum([len(t or b"") for t in whole.column(1).to_pylist()]) // LEAVING
+            for lo, hi in [(int(np.searchsorted(sizes, g)), int(np.searchsorted(sizes, g, "right"))) for g in np.unique(sizes)]:
+                b = whole.slice(lo, hi - lo)
+                counts, shown, codes, times = [], [], [], []
+                for x in tokenizers.texts([_read(t) for t in b.column(1).to_pylist()]):
+                    counts.append(unpacked(x[0]) if x else [0] * 5)
+                    shown.append(x[1] if x else "")
+                    c, n = np.unique(np.frombuffer(x[2], number), return_counts=True) if x else (np.zeros(0, number), np.zeros(0, np.int64))
+                    codes.append(c)
+                    times.append(n)
+                offsets = pa.array(np.cumsum([0, *map(len, codes)]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, k), *x]).astype(k))) for x, k in ((codes, number), (times, np.int32))]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), *[pa.array([c[k] for c in counts], pa.int64()) for k in range(5)], pa.array(shown, pa.string()), *lists], names)
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
         rows, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_shared long, groups string, pairs array<{code}>, times array<int>")
