@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -30,10 +32,13 @@ from framesift.session import cut_lineage
 TOKENIZER, END, LENGTH = "word_bpe_49k.json", 1, 2048
 #: Length of the hashed vector, numbers kept of it, bits of each on the curve, seed of hash and projection.
 HASHED, DIMS, BITS, SEED = 256, 3, 13, 17
-#: Bits of the row hash under the curve position, and words and their longest length that a task remembers.
-SPREAD, REMEMBERED, LONGEST = 24, 400_000, 64
+#: Bits of the row hash under the curve position, words and their longest length that a task remembers, documents whose vectors are made at once.
+SPREAD, REMEMBERED, LONGEST, DOCUMENTS = 24, 400_000, 64, 1000
 #: A control character that parts words on their way through the tokenizer, words at once, and bytes of text at a time.
 MARK, AT_ONCE, AT_A_TIME = b"\x01", 1000, 2 << 20
+#: Marks that end words; every ASCII character that is no letter, digit or white space shows as a full stop in the table.
+_ENDS = b".,;:!?"
+_STOPS = bytes(c if c >= 128 or chr(c).isalnum() or chr(c).isspace() else 46 for c in range(256))
 
 
 class Encoder:
@@ -41,57 +46,114 @@ class Encoder:
 
     def __init__(self, name: str = TOKENIZER):
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.model = self.tokenizer.model
+        # The byte-level alphabet shows a byte as the character of that number where it is printable, others from U+0100 on.
+        plain = sorted(ord(c) for c in pre_tokenizers.ByteLevel.alphabet() if ord(c) < 256)
+        self.shown = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(plain))}
         self.seen: dict[bytes, bytes] = {}
         alone = self.ids(MARK.decode())
         # Where the mark is no single token, -1 is found nowhere and every word is encoded by itself.
         self.mark = int(alone[0]) if len(alone) == 1 else -1
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words; short ones are remembered, up to a bounded number.
-
-        Words go through the tokenizer many at a time, with a mark between them that is a token of its own.
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    @staticmethod
+    def words(raw: bytes) -> list[bytes]:
+        """Words that give the text's ids one after another: cut at ASCII white space, and plain texts at single end marks too."""
+        if raw.isascii() and b"<|" not in raw and b".." not in raw.translate(_STOPS):
+            raw = raw.lower()
+            for c in _ENDS:
+                if c in raw:
+                    raw = raw.replace(bytes([c]), b" %c " % c)
+        return raw.split()
+
+    @staticmethod
+    def stem(word: bytes) -> tuple[bytes, bytes]:
+        """A word without the marks at its end, which are a token run of their own after a letter or digit, and these marks."""
+        text = word.decode("utf-8", "replace").rstrip(_ENDS.decode())
+        # Letters further on may lower or decompose to one that ends in a combining mark, which would join the run.
+        if not text or not (text[-1] in "0123456789" or (text[-1] < "\u0250" and text[-1].lower().isalpha())):
+            return word, b""
+        cut = len(text.encode())
+        return word[:cut], word[cut:]
+
+    def plain(self, word: bytes) -> str | None:
+        """Word as the tokenizer's model gets it, where that is plain: letters of the Latin blocks, composed."""
+        if len(word) > LONGEST:
+            return None
+        if word.isalpha():
+            return word.decode().lower()
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < "\u0250" and is_normalized("NFC", text) and (low := text.lower()).isalpha():
+            return low.encode().decode("latin-1").translate(self.shown)
+        return None
+
+    def learn(self, words: set[bytes]) -> None:
+        """Puts the ids of new words into memory.
+
+        Plain words are what the model itself works on.  Others go through the whole tokenizer
+        many at a time, with a mark between them that is a token of its own.
         """
-        got: dict[bytes, bytes] = {}
-        odd = {w for w in words if MARK in w}
-        plain = list(words - odd)
-        for i in range(0, len(plain), AT_ONCE):
-            some = plain[i: i + AT_ONCE]
+        seen, one, rest, ended = self.seen, self.model.tokenize, [], []
+
+        def put(w: bytes) -> None:
+            low = self.plain(w) if b"<|" not in w else None
+            if low is None:
+                rest.append(w)
+            else:
+                found = one(low)
+                seen[w] = pack(f"<{len(found)}I", *[t.id for t in found])
+
+        for w in words:
+            if w.isalpha() and len(w) <= LONGEST:
+                found = one(w.decode().lower())
+                seen[w] = pack(f"<{len(found)}I", *[t.id for t in found])
+                continue
+            if w[-1] not in _ENDS:
+                put(w)
+                continue
+            ended.append((w, *self.stem(w)))
+            for x in ended[-1][1:]:
+                if x and x not in seen:
+                    put(x)
+        odd = []
+        for i in range(0, len(rest), AT_ONCE):
+            some = rest[i: i + AT_ONCE]
             ids = self.ids(f" {MARK.decode()} ".join([w.decode("utf-8", "replace") for w in some]))
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
             if len(ends) != len(some):
-                odd.update(some)
+                odd += some
                 continue
             raw, first = ids.tobytes(), 0
             for w, end in zip(some, ends.tolist()):
-                got[w] = raw[4 * first: 4 * end]
+                seen[w] = raw[4 * first: 4 * end]
                 first = end + 1
         for w in odd:
-            got[w] = self.ids(w.decode("utf-8", "replace")).tobytes()
-        if len(self.seen) + len(got) > REMEMBERED:
-            self.seen = {}
-        self.seen.update((w, ids) for w, ids in got.items() if len(w) <= LONGEST)
-        return got
+            seen[w] = self.ids(w.decode("utf-8", "replace")).tobytes()
+        for w, stem, marks in ended:
+            seen[w] = seen[stem] + (seen[marks] if marks else b"")
 
     def texts(self, texts: list[bytes | None]) -> list[bytes]:
-        """Ids of each whole text (UTF-8 bytes; null is empty).  Words are cut at ASCII white space only."""
+        """Ids of each whole text (UTF-8 bytes; null is empty)."""
         out: list[bytes] = []
         i = 0
         while i < len(texts):
-            # Some megabytes of words at a time; the dictionary that serves them may be replaced by learning.
+            # Some megabytes of words at a time.
             size, words = 0, []
             while i < len(texts) and size < AT_A_TIME:
-                words.append(texts[i].split() if texts[i] else [])
+                words.append(self.words(texts[i]) if texts[i] else [])
                 size += len(texts[i] or b"")
                 i += 1
-            seen, new = self.seen, set().union(*words).difference(self.seen)
-            known = self.learn(new) if new else {}
-            out += [b"".join([seen[w] if w in seen else known[w] for w in ws]) for ws in words]
+            here = set().union(*words)
+            self.learn(here.difference(self.seen))
+            get = self.seen.__getitem__
+            out += [b"".join(map(get, ws)) for ws in words]
+            if len(self.seen) > REMEMBERED:  # what was just met is likely to be met again
+                self.seen = {w: self.seen[w] for w in here if len(w) <= LONGEST}
         return out
 
 
@@ -110,17 +172,25 @@ def _projection() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 32, 2, np.uint64) | np.uint64(1), rng.standard_normal((HASHED, DIMS)) / np.sqrt(HASHED)
 
 
-def hashed_vector(ids: np.ndarray) -> np.ndarray:
-    """Signed counts of hashed ids, dampened by a logarithm and of length one; no ids give zeros."""
+@lru_cache(maxsize=2)
+def _hashed(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and sign of every id below ``size`` in the hashed vector."""
     odd, _ = _projection()
-    h = (ids.astype(np.uint64) + np.uint64(1)) * odd[0] + odd[1]
+    h = (np.arange(size, dtype=np.uint64) + np.uint64(1)) * odd[0] + odd[1]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0x9E3779B97F4A7C15)
-    slot, sign = (h >> np.uint64(40)) % np.uint64(HASHED), np.where(h >> np.uint64(63), 1.0, -1.0)
-    v = np.bincount(slot.astype(np.int64), sign, HASHED)
+    return ((h >> np.uint64(40)) % np.uint64(HASHED)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
+
+
+def hashed_vectors(ids: list[np.ndarray], size: int) -> np.ndarray:
+    """Per document, signed counts of its hashed ids, dampened by a logarithm and of length one; no ids give zeros."""
+    slot, sign = _hashed(size)
+    lengths = np.array(list(map(len, ids)), np.int64)
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    v = np.bincount(np.repeat(np.arange(len(ids)) * HASHED, lengths) + slot[flat], sign[flat], len(ids) * HASHED).reshape(len(ids), HASHED)
     v = np.sign(v) * np.log1p(np.abs(v))
-    norm = np.sqrt(v @ v)
-    return v / norm if norm else v
+    norm = np.sqrt((v * v).sum(1, keepdims=True))
+    return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
 
 def hilbert(axes: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -160,11 +230,12 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END) -> Data
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         _, matrix = _projection()
-        narrow = encoder.tokenizer.get_vocab_size() <= 1 << 16
+        size = max(encoder.tokenizer.get_vocab_size(), end + 1)
+        narrow = size <= 1 << 16
         mark = np.array([end], "<u4").tobytes()
         for b in batches:
             ids = [np.frombuffer(x + mark, "<u4") for x in encoder.texts(b.column(1).to_pylist())]
-            point = np.array([hashed_vector(x[:-1]) for x in ids]).reshape(len(ids), HASHED) @ matrix
+            point = np.concatenate([np.zeros((0, DIMS)), *[hashed_vectors([x[:-1] for x in ids[k: k + DOCUMENTS]], size) @ matrix for k in range(0, len(ids), DOCUMENTS)]])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([(x.astype("<u2") if narrow else x).tobytes() for x in ids], pa.binary()),
                  pa.array([len(x) for x in ids], pa.int64()), pa.array([2 if narrow else 4] * len(ids), pa.int32()),

@@ -17,7 +17,7 @@ def encoder():
 
 def test_words_give_the_ids_of_the_whole_text(encoder):
     odd = ["a \x01 b\x01 \x01c", "it's  they'RE x", "ÉCOLE é ́x", "ΟΔΟΣ ΣΑΣ", "a\x1cb \x85c", "<|endoftext|>x y<|startoftext|> <|endoftext|>", "İstanbul",
-           "日本 語　x", "x" * 50000, "", " \n\t", "ﬁ ﬂ", "a᠎b", "q 1234 5.6%", "a\x00b"]
+           "日本 語　x", "x" * 50000, "", " \n\t", "ﬁ ﬂ", "a᠎b", "q 1234 5.6%", "a\x00b", "End. END, end... end?! é. 7. ... ,, a.b. it's. x'.", "<|ENDOFTEXT|> <|ENDOFTEXT|>. a<|endoftext|>b, J\u030c I\u0307.", "AbC" * 40 + ".", "été. ÉTÉ, Straße ẞ ß. ÿ Ÿ; Ω. ª º µ. 你好. x². ½, a.b,c d.e", "\x01. a\x01.", "İ. ǰ J\u030c ŉ."]
     odd += [r.text for r in [*map(lambda t: type("R", (), {"text": t}), [x[1] for x in odd_rows() if x[1]])]]
     for _ in range(2):  # the second time from memory
         for t, got in zip(odd, encoder.texts([t.encode() for t in odd])):
@@ -29,7 +29,7 @@ def test_memory_of_words_is_bounded_and_changes_nothing(encoder, monkeypatch):
     monkeypatch.setattr(packing, "AT_A_TIME", 10)
     small = packing.Encoder()
     texts = ["one two three four", "five six seven eight nine", "one six ten", "", "two two"]
-    assert small.texts([t.encode() for t in texts]) == [encoder.ids(t).tobytes() for t in texts] and len(small.seen) <= 5
+    assert small.texts([t.encode() for t in texts]) == [encoder.ids(t).tobytes() for t in texts] and len(small.seen) <= 10
 
 
 @pytest.mark.parametrize("dims, bits", [(2, 4), (3, 3), (4, 2)])
