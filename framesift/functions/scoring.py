@@ -1,4 +1,8 @@
-"""Chunk scores from sampling statistics: numpy helpers that run inside a task on one experiment's chunks."""
+"""Chunk scores from sampling statistics, as column expressions over a chunk's counters.
+
+Chance comes from counters, not from a generator: the number behind (seed, step, draw, chunk) is a hash of
+these, so a retried task, another partitioning and SQL in another engine all draw the same.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +11,95 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-# A plug-in gets the chunk table, the number of draws and a generator; it returns draws × chunks scores.
+#: A plug-in gets the chunk table, the number of draws and a generator; it returns draws × chunks scores.
 ScoreFunction = Callable[[pd.DataFrame, int, np.random.Generator], np.ndarray]
 
 # The statistic each name stands for, as a column of the chunk table.
 STATISTICS = {"gt": "n_once", "unique": "n_unique", "hits": "n_hits"}
+#: Tries of a gamma draw, each taken with a chance of 0.95 or more; and halvings that end a quantile search.
+TRIES, HALVINGS = 6, 100
+COUNTER = ("seed", "step", "draw", "chunk_id")
+
+
+def key_of(salt: Column | str, parts: tuple[str, ...] = COUNTER) -> Column:
+    """Hash of a counter as hex text."""
+    salt = F.lit(salt) if isinstance(salt, str) else salt
+    return F.md5(F.concat_ws(":", *[F.col(p).cast("string") for p in parts], salt.cast("string")))
+
+
+def unit(key: Column, part: int = 0) -> Column:
+    """One of three uniform numbers in (0, 1) that a key holds."""
+    return (F.conv(F.substring(key, 10 * part + 1, 10), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 40))
+
+
+def normal(key: Column) -> Column:
+    """Standard normal number of a key."""
+    return F.sqrt(-2.0 * F.ln(unit(key, 0))) * F.cos(F.lit(2 * np.pi) * unit(key, 1))
+
+
+def gamma_draw(shape: Column) -> Column:
+    """Draw of Gamma(shape, 1) for the row's counter.
+
+    Of cubes of shifted normal numbers, the first that passes the rejection test for shape + 1 is taken, times a power
+    of a uniform number that brings the shape down by one.  A counter whose tries all fail, fewer than one in
+    10**7, takes the distribution's scale itself.
+    """
+    d = shape + 2.0 / 3.0
+    c = 1.0 / F.sqrt(9.0 * d)
+
+    def numbers(key: Column) -> Column:
+        return F.struct(normal(key).alias("x"), unit(key, 2).alias("w"))
+
+    def cubed(s: Column) -> Column:
+        return F.struct(s["x"].alias("x"), s["w"].alias("w"), F.pow(1.0 + c * s["x"], 3.0).alias("v"))
+
+    def passed(s: Column) -> Column:
+        x, w, v = s["x"], s["w"], s["v"]
+        return (v > 0) & (F.ln(w) < 0.5 * x * x + d - d * v + d * F.ln(F.when(v > 0, v).otherwise(1.0)))
+
+    # One transform after the other, so that each number is made once.
+    keys = F.transform(F.sequence(F.lit(1), F.lit(TRIES)), lambda k: key_of(k))
+    tries = F.transform(F.filter(F.transform(F.transform(keys, numbers), cubed), passed), lambda s: s["v"])
+    return d * F.coalesce(F.get(tries, 0), F.lit(1.0)) * F.pow(unit(key_of("0")), 1.0 / shape)
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of a positive number: seven factors, then the asymptotic series."""
+    z = x + 7.0
+    below = x
+    for i in range(1, 7):
+        below = below * (x + float(i))
+    series = 1.0 / (12.0 * z) - 1.0 / (360.0 * F.pow(z, 3.0)) + 1.0 / (1260.0 * F.pow(z, 5.0)) - 1.0 / (1680.0 * F.pow(z, 7.0)) + 1.0 / (1188.0 * F.pow(z, 9.0))
+    return (z - 0.5) * F.ln(z) - z + 0.5 * np.log(2 * np.pi) + series - F.ln(below)
+
+
+def gamma_cdf(shape: Column, x: Column, scale: Column) -> Column:
+    """Share of Gamma(shape, 1) below ``x`` by its power series; ``scale`` is log_gamma(shape + 1)."""
+    terms = F.ceil(60.0 + 14.0 * F.sqrt(shape + 30.0)).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def add(s: Column, k: Column) -> Column:
+        term = s["term"] * x / (shape + k)
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+    total = F.aggregate(F.sequence(F.lit(1), terms), start, add, lambda s: s["total"])
+    return F.when(x <= 0, 0.0).otherwise(F.exp(shape * F.ln(F.greatest(x, F.lit(1e-300))) - x - scale) * total)
+
+
+def gamma_quantile(shape: Column, q: Column) -> Column:
+    """Quantile of Gamma(shape, 1) by halving."""
+    scale = log_gamma(shape + 1.0)
+    start = F.struct(F.lit(0.0).alias("lo"), (shape + 10.0 * F.sqrt(shape) + 60.0).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2.0
+        low = gamma_cdf(shape, mid, scale) < q
+        return F.struct(F.when(low, mid).otherwise(s["lo"]).alias("lo"), F.when(low, s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2.0)
 
 
 @dataclass(frozen=True)
@@ -28,73 +115,34 @@ class GammaScorer:
     alpha: float = 0.1
     beta: float = 1.0
 
-    def __call__(self, chunks: pd.DataFrame, draws: int, rng: np.random.Generator) -> np.ndarray:
-        n = chunks["n_frames"].to_numpy(dtype=float)
+    def belief(self) -> tuple[Column, Column]:
         if self.stat == "uniform":
-            shape, rate = np.ones(len(n)), np.ones(len(n))
-        else:
-            shape, rate = chunks[STATISTICS[self.stat]].to_numpy(dtype=float) + self.alpha, n + self.beta
-        if self.policy == "ts":
-            return rng.gamma(shape, 1 / rate, size=(draws, len(n)))
+            return F.lit(1.0), F.lit(1.0)
+        return F.col(STATISTICS[self.stat]).cast("double") + self.alpha, F.col("n_frames").cast("double") + self.beta
+
+    @property
+    def draws(self) -> bool:
+        """Whether each draw has its own score; else those of a step share one per chunk."""
+        return self.policy == "ts"
+
+    def per_chunk(self) -> Column:
+        shape, rate = self.belief()
         if self.policy == "bayes_ucb":
-            row = gamma_quantile(shape, 1 - 1 / (n.sum() + 1)) / rate
-        elif self.policy == "none":
-            row = shape / rate
-        else:
-            raise ValueError(self.policy)
-        return np.repeat(row[None, :], draws, axis=0)
+            return gamma_quantile(shape, 1.0 - 1.0 / (F.col("sampled").cast("double") + 1.0)) / rate
+        if self.policy == "none":
+            return shape / rate
+        raise ValueError(self.policy)
+
+    def per_draw(self) -> Column:
+        shape, rate = self.belief()
+        return gamma_draw(shape) / rate
 
 
-def random_scorer(chunks: pd.DataFrame, draws: int, rng: np.random.Generator) -> np.ndarray:
+@dataclass(frozen=True)
+class RandomScorer:
     """Chunk choice by chance alone."""
-    return rng.standard_normal((draws, len(chunks)))
-
-
-def gamma_cdf(a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised lower incomplete gamma: power series below a+1, continued fraction above."""
-    from math import lgamma
-
-    lead = np.exp(a * np.log(np.maximum(x, 1e-300)) - x - np.array([lgamma(v) for v in a]))
-    term = 1 / a
-    total = term.copy()
-    for k in range(1, 400):
-        term = term * x / (a + k)
-        total += term
-    b = x + 1 - a
-    d = 1 / np.where(b == 0, 1e-300, b)
-    c, h = np.full_like(b, 1e300), d.copy()
-    for k in range(1, 400):
-        an = -k * (k - a)
-        b = b + 2
-        d = 1 / (an * d + b)
-        c = b + an / c
-        h = h * c * d
-    return np.where(x <= 0, 0.0, np.where(x < a + 1, lead * total, 1 - lead * h))
-
-
-def gamma_quantile(shape: np.ndarray, q: float) -> np.ndarray:
-    """Quantile of Gamma(shape, 1) by bisection."""
-    lo, hi = np.zeros_like(shape), shape + 10 * np.sqrt(shape) + 60.0
-    with np.errstate(all="ignore"):
-        for _ in range(80):
-            mid = (lo + hi) / 2
-            low = gamma_cdf(shape, mid) < q
-            lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
-    return (lo + hi) / 2
-
-
-def pick_chunks(scores: np.ndarray, left: np.ndarray, rng: np.random.Generator) -> list[int]:
-    """Chunk of every draw: the best scored one with frames left, ties at random.
-
-    Fewer picks than draws come back only when every chunk is exhausted.
-    """
-    left = left.copy()
-    picks = []
-    for row in scores:
-        open_ = np.flatnonzero(left > 0)
-        if not len(open_):
-            break
-        best = open_[np.lexsort((rng.random(len(open_)), -row[open_]))[0]]
-        left[best] -= 1
-        picks.append(int(best))
-    return picks
+
+    draws = True
+
+    def per_draw(self) -> Column:
+        return normal(key_of("0"))

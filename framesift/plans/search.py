@@ -4,8 +4,8 @@ Prepared once: ``feed`` (order_id, chunk_id, pos, frame_id, category, track_id),
 every chunk with what its frames hold, laid out by blocks of queue positions so that a step reads
 only the blocks it needs.
 
-A step reads the state that the step before left, lets every experiment pick chunks, looks the
-picked frames up, and writes three things: the step's part of the sampling log, the sightings per
+A step reads the state that the step before left, lets every experiment pick chunks (column expressions
+over chunks and draws; see ``choose``), looks the picked frames up, and writes three things: the step's part of the sampling log, the sightings per
 (experiment, chunk, track) so far, and the frame counters per (experiment, chunk) so far.  The log
 itself is never read again by a search.  Every folder is written over on a retry, and a step counts
 once its last folder is complete, so ``reopen`` goes on after the last whole step.
@@ -14,17 +14,16 @@ once its last folder is complete, so ``reopen`` goes on after the last whole ste
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framesift.functions.ordinal import block_of, running
-from framesift.functions.scoring import GammaScorer, ScoreFunction, pick_chunks, random_scorer
+from framesift.functions.scoring import GammaScorer, RandomScorer, ScoreFunction, key_of
 from framesift.operators import orders
 from framesift.session import scratch_path
 
@@ -34,9 +33,10 @@ SEEN = "experiment string, chunk_id long, track_id long, n long"
 LOOKED = "experiment string, chunk_id long, n_frames long, n_hits long, n_hit_frames long"
 
 # Named choices of the config grid.
-SCORERS: dict[str, ScoreFunction] = {
+Scorer = GammaScorer | RandomScorer | ScoreFunction
+SCORERS: dict[str, Scorer] = {
     **{f"{s}_{p}": GammaScorer(s, p) for s in ("gt", "unique", "hits", "uniform") for p in ("ts", "bayes_ucb", "none")},
-    "random": random_scorer,
+    "random": RandomScorer(),
 }
 
 
@@ -75,7 +75,7 @@ class Search:
     experiments: Sequence[Experiment]
     batch: int
     stop: Stop
-    scorers: dict[str, ScoreFunction] = field(default_factory=lambda: SCORERS)
+    scorers: dict[str, Scorer] = field(default_factory=lambda: SCORERS)
     detector: Callable | None = None
     steps: int = 0
 
@@ -95,9 +95,9 @@ class Search:
     def looked(self) -> DataFrame:
         return self.read(f"state/step={self.steps - 1}/looked") if self.steps else self.spark.createDataFrame([], LOOKED)
 
-    def config(self) -> DataFrame:
-        rows = [(e.name, e.category, e.order_id, e.scorer, e.seed) for e in self.experiments]
-        return self.spark.createDataFrame(rows, "experiment string, category string, order_id string, scorer string, seed long")
+    def config(self, step: int = 0) -> DataFrame:
+        rows = [(e.name, e.category, e.order_id, e.scorer, e.seed, step) for e in self.experiments]
+        return self.spark.createDataFrame(rows, "experiment string, category string, order_id string, scorer string, seed long, step int")
 
 
 def prepare_feed(queues: DataFrame, hits: DataFrame, path: str) -> None:
@@ -124,7 +124,7 @@ def make_queues(frames: DataFrame, chunks: DataFrame, order_seeds: dict[str, int
 
 
 def start(queues: DataFrame, hits: DataFrame, experiments: Sequence[Experiment], batch: int, stop: Stop,
-          scorers: dict[str, ScoreFunction] | None = None, detector: Callable | None = None, path: str | None = None) -> Search:
+          scorers: dict[str, Scorer] | None = None, detector: Callable | None = None, path: str | None = None) -> Search:
     """Prepare a search in the folder ``path`` (a new scratch folder by default)."""
     spark = queues.sparkSession
     path = path or scratch_path(spark, "search")
@@ -137,7 +137,7 @@ def start(queues: DataFrame, hits: DataFrame, experiments: Sequence[Experiment],
 
 
 def reopen(spark: SparkSession, path: str, experiments: Sequence[Experiment], batch: int, stop: Stop,
-           scorers: dict[str, ScoreFunction] | None = None, detector: Callable | None = None) -> Search:
+           scorers: dict[str, Scorer] | None = None, detector: Callable | None = None) -> Search:
     """A search that was started in ``path``, after its last whole step."""
     search = Search(spark, path, tuple(experiments), batch, stop, {**SCORERS, **(scorers or {})}, detector)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
@@ -153,34 +153,89 @@ def counters(seen: DataFrame, looked: DataFrame) -> DataFrame:
     return looked.join(tracks, ["experiment", "chunk_id"], "left")
 
 
+def scored(search: Search, chunks: DataFrame) -> DataFrame:
+    """One row per open chunk and draw with its ``score``; ``chunks`` are the open chunks of unfinished experiments."""
+    draws = F.explode(F.sequence(F.lit(0), F.lit(search.batch - 1))).alias("draw")
+    used = sorted({e.scorer for e in search.experiments})
+    built_in = {n: search.scorers[n] for n in used if not callable(search.scorers[n])}
+    out = None
+    if built_in:
+        shared, own = F.lit(None).cast("double"), F.lit(None).cast("double")
+        for name, scorer in built_in.items():
+            if scorer.draws:
+                own = F.when(F.col("scorer") == name, scorer.per_draw()).otherwise(own)
+            else:
+                shared = F.when(F.col("scorer") == name, scorer.per_chunk()).otherwise(shared)
+        mine = chunks.where(F.col("scorer").isin(*built_in)).withColumn("shared", shared)
+        out = mine.select("*", draws).withColumn("score", F.coalesce("shared", own)).drop("shared")
+    plugged = {n: search.scorers[n] for n in used if n not in built_in}
+    if plugged:
+        batch, step = search.batch, search.steps
+
+        def plug_in(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("chunk_id", ignore_index=True)
+            rng = np.random.default_rng([int(pdf["seed"].iloc[0]), step])
+            scores = np.asarray(plugged[pdf["scorer"].iloc[0]](pdf, batch, rng), dtype=float)
+            rows = pdf.loc[np.tile(np.arange(len(pdf)), batch)].reset_index(drop=True)
+            return rows.assign(draw=np.repeat(np.arange(batch), len(pdf)), score=scores.ravel())
+
+        schema = ", ".join(f"{n} {k}" for n, k in chunks.dtypes) + ", draw int, score double"
+        rows = chunks.where(F.col("scorer").isin(*plugged)).groupBy("experiment").applyInPandas(plug_in, schema)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def taken(options: DataFrame) -> DataFrame:
+    """(experiment, at, chunk_id, turn): draws, one after the other, take their best chunk with frames left.
+
+    ``options`` is one row per (experiment, draw, chunk_id) with score and ``left``.  Before a draw no more frames
+    can be gone than there were draws, so of its chunks in order only so many count as hold more than that.
+    """
+    best = F.struct((-F.col("score")).alias("low"), key_of("tie").alias("tie"), "chunk_id", "left")
+    ranked = options.groupBy("experiment", "draw").agg(F.array_sort(F.collect_list(best)).alias("o"))
+    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("n"))
+
+    def reach(acc, o):
+        return F.when(acc["held"] > F.col("draw"), acc).otherwise(
+            F.struct((acc["held"] + o["left"]).alias("held"), (acc["n"] + 1).alias("n")))
+
+    needed = ranked.withColumn("o", F.slice("o", F.lit(1), F.aggregate("o", start, reach, lambda acc: acc["n"])))
+    short = F.transform("o", lambda o: F.struct(o["chunk_id"].alias("chunk_id"), o["left"].alias("left")))
+    draws = needed.groupBy("experiment").agg(F.array_sort(F.collect_list(F.struct("draw", short.alias("o")))).alias("draws"))
+    none = F.array().cast("array<bigint>")
+
+    def take(acc, d):
+        free = F.filter(d["o"], lambda o: F.size(F.filter(acc, lambda c: c == o["chunk_id"])) < o["left"])
+        return F.when(F.size(free) > 0, F.array_append(acc, F.get(free, 0)["chunk_id"])).otherwise(acc)
+
+    picked = draws.select("experiment", F.posexplode(F.aggregate("draws", none, take)).alias("at", "chunk_id"))
+    before = Window.partitionBy("experiment", "chunk_id").orderBy("at")
+    return picked.withColumn("turn", F.row_number().over(before) - 1)
+
+
 def choose(search: Search, step: int) -> DataFrame:
     """Picks of one step: (experiment, sample_id, order_id, category, chunk_id, pos).
 
-    One group is one experiment's chunk table, already aggregated.
+    Chunks are scored per draw by expressions; what a draw can take is cut to few chunks before the draws
+    of an experiment, at most ``batch`` rows, are gone through in order.
     """
     found = search.seen().groupBy("experiment").agg(F.count_distinct("track_id").alias("ni"))
-    table = (search.config().join(search.read("sizes"), "order_id").join(counters(search.seen(), search.looked()), ["experiment", "chunk_id"], "left")
-             .join(found, "experiment", "left").join(search.read("totals"), "category", "left")
-             .fillna(0, ["n_frames", "n_hits", "n_hit_frames", "n_once", "n_unique", "ni", "total_ni"]))
-    scorers, batch, stop = search.scorers, search.batch, search.stop
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_id", ignore_index=True)
-        head = pdf.iloc[0]
-        sampled = int(pdf["n_frames"].sum())
-        done = step > 0 and (head["ni"] >= stop.results_for(int(head["total_ni"])) or (stop.frames is not None and sampled >= stop.frames))
-        rng = np.random.default_rng([int(head["seed"]), step, zlib.crc32(head["experiment"].encode())])
-        n = 0 if done else batch
-        scores = scorers[head["scorer"]](pdf, n, rng) if n else np.zeros((0, len(pdf)))
-        picks = np.array(pick_chunks(scores, (pdf["queue_len"] - pdf["n_frames"]).to_numpy(), rng), dtype=int)
-        turn = pd.Series(picks).groupby(picks).cumcount().to_numpy(dtype=int) if len(picks) else picks
-        return pd.DataFrame({
-            "experiment": head["experiment"], "order_id": head["order_id"], "category": head["category"],
-            "sample_id": sampled + np.arange(len(picks)), "chunk_id": pdf["chunk_id"].to_numpy()[picks],
-            "pos": pdf["n_frames"].to_numpy()[picks] + turn})
-
-    schema = "experiment string, order_id string, category string, sample_id long, chunk_id long, pos long"
-    return table.groupBy("experiment").applyInPandas(pick, schema)
+    sampled = search.looked().groupBy("experiment").agg(F.sum("n_frames").alias("sampled"))
+    # The step is a column and no literal, so that all steps run the same compiled code.
+    config = search.config(step)
+    table = (config.join(search.read("sizes"), "order_id").join(counters(search.seen(), search.looked()), ["experiment", "chunk_id"], "left")
+             .join(found, "experiment", "left").join(sampled, "experiment", "left").join(search.read("totals"), "category", "left")
+             .fillna(0, ["n_frames", "n_hits", "n_hit_frames", "n_once", "n_unique", "ni", "total_ni", "sampled"]))
+    stop = search.stop
+    total = F.col("total_ni")
+    want = total if stop.results is None else F.least(total, F.ceil(total * F.lit(stop.results)) if isinstance(stop.results, float) else F.lit(stop.results))
+    done = F.lit(step > 0) & ((F.col("ni") >= want) | (F.col("sampled") >= stop.frames if stop.frames is not None else F.lit(False)))
+    left = F.col("queue_len") - F.col("n_frames")
+    chunks = table.withColumn("left", left).where(~done & (left > 0))
+    picks = taken(scored(search, chunks))
+    own = chunks.select("experiment", "chunk_id", "order_id", "category", "sampled", "n_frames")
+    return picks.join(own, ["experiment", "chunk_id"]).select(
+        "experiment", "order_id", "category", (F.col("sampled") + F.col("at")).alias("sample_id"), "chunk_id", (F.col("n_frames") + F.col("turn")).alias("pos"))
 
 
 def advance(search: Search) -> bool:

@@ -1,9 +1,10 @@
+import math
+
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from framesift.functions.scoring import GammaScorer, gamma_cdf, gamma_quantile, pick_chunks
+from framesift.functions.scoring import RandomScorer, gamma_draw, gamma_quantile, log_gamma
 from framesift.plans import bounds
 from framesift.plans import search as S
 from framesift.operators import estimators, stats
@@ -16,25 +17,59 @@ def small(spark, frames=60, chunk=20):
     return f, hits
 
 
-def test_picks_fall_to_the_next_chunk_when_one_is_exhausted():
+def test_picks_fall_to_the_next_chunk_when_one_is_exhausted(spark):
+    """Draws in order take their best chunk with frames left, as a plain loop does."""
     rng = np.random.default_rng(0)
-    scores = np.tile([3.0, 2.0, 1.0], (5, 1))
-    assert pick_chunks(scores, np.array([1, 2, 0]), rng) == [0, 1, 1]
-    assert pick_chunks(scores, np.array([0, 0, 0]), rng) == []
-
-
-def test_gamma_quantile_inverts_the_cdf():
-    shape = np.array([0.1, 0.5, 1.0, 3.1, 40.0])
-    for q in (0.05, 0.5, 0.9, 0.999):
-        assert np.allclose(gamma_cdf(shape, gamma_quantile(shape, q)), q, atol=1e-6)
-    assert np.allclose(gamma_quantile(np.array([1.0]), 0.5), np.log(2))
-
-
-def test_thompson_draws_have_the_right_mean():
-    chunks = pd.DataFrame({"n_once": [0, 5, 50], "n_frames": [10, 10, 100]})
-    draws = GammaScorer("gt", "ts")(chunks, 20000, np.random.default_rng(1))
-    mean = GammaScorer("gt", "none")(chunks, 1, None)[0]
-    assert np.allclose(draws.mean(axis=0), mean, rtol=0.1, atol=0.01)
+    rows, want = [], []
+    for e in range(40):
+        draws, chunks = int(rng.integers(1, 12)), int(rng.integers(1, 5))
+        left, score = rng.integers(1, 5, chunks), rng.random((draws, chunks))
+        rows += [(f"e{e}", 0, 0, d, c, int(left[c]), float(score[d, c])) for d in range(draws) for c in range(chunks)]
+        now, at, turns = left.copy(), 0, [0] * chunks
+        for d in range(draws):
+            open_ = np.flatnonzero(now > 0)
+            if not len(open_):
+                break
+            c = int(open_[score[d, open_].argmax()])
+            want.append((f"e{e}", at, c, turns[c]))
+            now[c], at, turns[c] = now[c] - 1, at + 1, turns[c] + 1
+    got = S.taken(spark.createDataFrame(rows, "experiment string, seed long, step int, draw int, chunk_id long, left long, score double"))
+    assert sorted(map(tuple, got.select("experiment", "at", "chunk_id", "turn").collect())) == sorted(want)
+
+
+def slow_cdf(a, x):
+    """Regularised lower incomplete gamma by adding up small steps of the density, exactly known at its end."""
+    from math import exp, lgamma, log
+    total, term, k = 0.0, 1.0, 0
+    while term > 1e-18 * max(total, 1e-300) and k < 5000:
+        total += term
+        k += 1
+        term *= x / (a + k)
+    return exp(a * log(x) - x - lgamma(a + 1)) * total
+
+
+def test_gamma_quantile_inverts_the_cdf(spark):
+    shapes, qs = [0.1, 0.5, 1.0, 3.1, 40.0, 900.1], [0.05, 0.5, 0.9, 0.999, 1 - 1e-6]
+    df = spark.createDataFrame([(a, q) for a in shapes for q in qs], "a double, q double")
+    for r in df.select("a", "q", gamma_quantile(F.col("a"), F.col("q")).alias("x"), log_gamma(F.col("a")).alias("g")).collect():
+        assert slow_cdf(r.a, r.x) == pytest.approx(r.q, abs=1e-9)
+        assert r.g == pytest.approx(math.lgamma(r.a), abs=1e-11)
+    one = spark.range(1).select(gamma_quantile(F.lit(1.0), F.lit(0.5)).alias("x")).first().x
+    assert one == pytest.approx(np.log(2))
+
+
+def test_draws_follow_their_distributions(spark):
+    """Mean, variance and share below the median of gamma draws; moments of normal ones; the same again on other partitions."""
+    rows = spark.range(20000).select(F.lit(7).alias("seed"), F.lit(1).alias("step"), F.col("id").alias("draw"), F.lit(3).alias("chunk_id"))
+    for a in (0.1, 1.1, 5.1, 300.0):
+        got = np.array([r.x for r in rows.select(gamma_draw(F.lit(a)).alias("x")).collect()])
+        again = {r.draw: r.x for r in rows.repartition(3).select("draw", gamma_draw(F.lit(a)).alias("x")).collect()}
+        assert got.tolist() == [again[i] for i in range(len(got))]
+        assert (got > 0).all() and got.mean() == pytest.approx(a, rel=0.1) and got.var() == pytest.approx(a, rel=0.2)
+        median = spark.range(1).select(gamma_quantile(F.lit(a), F.lit(0.5)).alias("x")).first().x
+        assert (got < median).mean() == pytest.approx(0.5, abs=0.02)
+    z = np.array([r.x for r in rows.select(RandomScorer().per_draw().alias("x")).collect()])
+    assert abs(z.mean()) < 0.03 and z.std() == pytest.approx(1, abs=0.03) and (z ** 3).mean() == pytest.approx(0, abs=0.1)
 
 
 def test_search_visits_every_frame_once_and_in_queue_order(spark):
