@@ -224,7 +224,11 @@ def planted_copies():
     return {i: " ".join(texts[k]) for i, k in enumerate(order)}
 
 
-def test_near_duplicate_stage_equals_brute_force_jaccard(spark, docs):
+@pytest.mark.parametrize("tile, shingles, dense", [(512, 1 << 18, 16), (7, 1 << 18, 0), (512, 3000, 10**9)])
+def test_near_duplicate_stage_equals_brute_force_jaccard(spark, docs, monkeypatch, tile, shingles, dense):
+    monkeypatch.setattr(nearsets, "TILE", tile)
+    monkeypatch.setattr(nearsets, "SHINGLES", shingles)
+    monkeypatch.setattr(nearsets, "DENSE", dense)
     for texts in ({r.doc_id: r.text for r in docs.collect()}, planted_copies()):
         df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], DOC)
         kept = corpus_pipeline.deduplicated(spark, df, SF)
@@ -233,6 +237,33 @@ def test_near_duplicate_stage_equals_brute_force_jaccard(spark, docs):
         assert len(got) == len(set(got)) and set(got) == brute_near_sets(texts)
 
 
+@pytest.mark.parametrize("dense", [0, 16, 10**9])
+def test_forest_of_a_unit_joins_what_agrees(monkeypatch, dense):
+    monkeypatch.setattr(nearsets, "DENSE", dense)
+    rng = np.random.default_rng(dense)
+    base = [np.unique(rng.integers(0, 10**6, 60)).astype(np.int64) for _ in range(12)]
+    sets = []
+    for k in range(300):
+        s = base[k % 12].copy()
+        s[rng.choice(len(s), int(rng.integers(0, 9)), replace=False)] = rng.integers(10**6, 10**9)
+        sets.append(np.unique(s))
+    n = len(sets)
+    agree = np.array([[5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)) for y in sets] for x in sets])
+    for root, side in ((np.arange(n), np.zeros(n, int)), (np.arange(n), np.arange(n) % 2), (np.arange(n) // 40, np.zeros(n, int))):
+        i, j = nearsets.forest_of(root, side, np.array([len(s) for s in sets]), sets, (4, 5))
+        assert all(agree[a, b] and root[a] != root[b] for a, b in zip(i, j)) and len(i) < len(set(root.tolist()))
+        allowed = agree & ((side[:, None] != side[None, :]) | (side.min() == side.max())) | (root[:, None] == root[None, :])
+        found = np.eye(n, dtype=bool) | (root[:, None] == root[None, :])
+        found[i, j] = found[j, i] = True
+        for m in (allowed, found):
+            while True:
+                step = (m.astype(int) @ m.astype(int)) > 0
+                if (step == m).all():
+                    break
+                m[:] = step
+        assert (allowed == found).all()
+
+
 def test_near_duplicate_stage_edges(spark, odd):
     kept = nearsets.one_of_each(odd)
     assert kept.columns == odd.columns
@@ -564,9 +595,7 @@ def test_pipeline_stages(spark):
         if name == "language":
             assert set(before) - set(rows) == {i for i, r in before.items() if not any(map(str.isalpha, r.text))}
         if name == "near_duplicates":
-            ids = sorted(before)
-            label = brute_components(ids, np.array([slow_fingerprint(before[i].text) for i in ids], np.uint64))
-            assert set(rows) == set(label.tolist())
+            assert set(rows) == brute_near_sets({i: r.text for i, r in before.items()})
         if name == "decontamination":
             bad = {i for i, _ in brute_leaks([(i, r.text) for i, r in before.items()], [(b.item_id, b.text) for b in common.table(spark, SF, "benchmark").collect()])}
             assert set(rows) == set(before) - bad
@@ -582,3 +611,23 @@ def test_pipeline_edges(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == [c.split()[0] for c in DOC.split(", ")]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_topics_of_long_runs_and_of_every_rule(spark):
+    """Patterns give what their plain forms give, and a run of a million characters takes no longer than other texts."""
+    import re
+    import time
+    plain = {"licence": r"(?i)licen[cs]ed? under|released under the|copyright", "credentials": r"(?i)(?:token|secret|password|api_?key)\s*[=:]\s*\S{8}",
+             "table": r"(?:\|[^|\n]{1,80}){4}", "symbols": r"(?:\S*[%$&*#]{3}\s+){3}", "contact": r"[\w.+-]+@[\w-]+\.\w+"}
+    texts = ["LICENSED UNDER x", "it is Copyright me", "released UNDER the", "API_KEY = abcdefgh1", "apikey:  12345678", "Token 12345678", "a|b|c|d|e", "|||||", "a%%% b$$$ c### d",
+             "%%% %%% x%%%\n", "%%% b%% %%% ", "me.you@here.org", "@here.org", "a@b", "+@b-c.d", "plain words", "", "  \n", None, "x@y.z token=12345678", "under the copy right"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, "a" * 10**6), (101, "%" * 10**6), (102, "a@" * 300_000), (103, "%%% " + "b" * 10**6), (104, "|" + "c" * 10**6)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    df.select(mixing.topic_of(F.lit("warm"))).collect()
+    began = time.time()
+    got = {r.id: r.topic for r in df.select("id", mixing.topic_of(F.col("text")).alias("topic")).collect()}
+    assert time.time() - began < 20
+    for i, t in enumerate(texts):
+        want = mixing.NONE if not t or not t.strip() else next((n for n, p in plain.items() if re.search(p, t, re.ASCII)), "prose")
+        assert got[i] == want, t
+    assert {got[i] for i in range(100, 105)} == {"prose"}
