@@ -188,7 +188,8 @@ def near_pairs(new: DataFrame, old: DataFrame, by: Sequence[str], key: str, back
     o = tiled(old, "old").withColumn("__b", F.explode(F.array(at, at + 1)))
     gap = F.col("new_frame") - F.col("old_frame")
     starts = (F.floor(F.greatest("n_xmin", "o_xmin") / tile) == F.col("__x")) & (F.floor(F.greatest("n_ymin", "o_ymin") / tile) == F.col("__y"))
-    met = n.join(o, [*by, "__b", "__x", "__y"]).where((gap >= least_gap) & (gap <= back) & starts)
+    # Packed files of boxes look small; the tiled rows made from them are many times as large, so none are broadcast.
+    met = n.join(o.hint("merge"), [*by, "__b", "__x", "__y"]).where((gap >= least_gap) & (gap <= back) & starts)
     overlap = B.iou(B.box("n_"), B.box("o_"))
     return met.withColumn("iou", overlap).where(F.col("iou") >= iou_at_least).select(*by, "new_id", "new_frame", "old_id", "old_frame", "iou")
 

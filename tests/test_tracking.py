@@ -161,3 +161,9 @@ def test_components_of_a_graph(spark):
     want = {3: 3, 5: 3, 9: 3, 1: 1, 2: 1, **{i: 20 for i in range(20, 24)}, **{i: 100 for i in range(100, 151)}, **{i: 200 for i in range(200, 241)}}
     assert got == want
     assert K.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_pairs_are_never_broadcast(spark):
+    """A few packed rows look small to the planner, the tiled rows made from them are not."""
+    df, _ = random_boxes(spark, 50)
+    assert "Broadcast" not in D.near_pairs(df, df, ["category"], "event_id", 5, 0.2)._jdf.queryExecution().executedPlan().toString()
