@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -291,6 +291,10 @@ def cascade(df: DataFrame, mode: str, diff: Column, small: Column, detector: Col
     ``status`` is 2, 4 or 6 for the last stage reached.
     """
     over_diff, over_small = (m if m is not None else d for m, d in zip(CASCADE_MODES[mode], measured))
+    return _judged(df, diff, small, detector, F.lit(over_diff), F.lit(over_small))
+
+
+def _judged(df: DataFrame, diff: Column, small: Column, detector: Column, over_diff: Column, over_small: Column) -> DataFrame:
     second = diff > over_diff
     third = second & (small > over_small)
     return df.withColumns({
@@ -301,6 +305,16 @@ def cascade(df: DataFrame, mode: str, diff: Column, small: Column, detector: Col
     })
 
 
+def cascades(df: DataFrame, modes: Iterable[str], diff: Column, small: Column, detector: Column,
+             measured: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """``cascade`` in several modes, named by ``mode``, in one pass over ``df``."""
+    rows = df.withColumns({"__diff": diff, "__small": small, "__detector": detector})
+    over = lambda at: F.element_at(F.create_map(*[F.lit(x) for m in modes for x in (m, measured[at] if CASCADE_MODES[m][at] is None else CASCADE_MODES[m][at])]), F.col("mode"))
+    rows = rows.withColumn("mode", F.explode(F.array(*map(F.lit, modes)))).withColumns({"__over_diff": over(0), "__over_small": over(1)})
+    return _judged(rows, F.col("__diff"), F.col("__small"), F.col("__detector"), F.col("__over_diff"), F.col("__over_small")).drop(
+        "__diff", "__small", "__detector", "__over_diff", "__over_small")
+
+
 def cascade_share(df: DataFrame) -> DataFrame:
     """Frames and percent per status."""
     counts = df.groupBy("status").agg(F.count(F.lit(1)).alias("n"))

@@ -81,13 +81,10 @@ views.define("cascade", """SELECT event_id, mode, CASE WHEN d > td AND s > ts TH
 
 def cascaded(spark, d):
     k = table(spark, d, "events").select("event_id", (F.get_json_object("props", "$.k").cast("double") / 100).alias("d"))
-    rows = det(spark, d).join(k, "event_id")
+    # Rows meet once, whatever the number of modes; a table of one row per event is never small enough to be broadcast.
+    rows = det(spark, d).select("event_id", "track_id", "confidence").join(k.hint("merge"), "event_id")
     y = F.when(F.col("track_id") % 7 == 0, 1.0).otherwise(0.0)
-    parts = [D.cascade(rows, m, F.col("d"), F.col("confidence"), y, (0.3, 0.4)).withColumn("mode", F.lit(m)) for m in D.CASCADE_MODES]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+    return D.cascades(rows, D.CASCADE_MODES, F.col("d"), F.col("confidence"), y, (0.3, 0.4))
 
 
 @query("P11_cascade", with_views("cascade", body="""

@@ -167,3 +167,16 @@ def test_near_pairs_are_never_broadcast(spark):
     """A few packed rows look small to the planner, the tiled rows made from them are not."""
     df, _ = random_boxes(spark, 50)
     assert "Broadcast" not in D.near_pairs(df, df, ["category"], "event_id", 5, 0.2)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cascade_modes_in_one_pass(spark):
+    """All modes give what each gives alone, and the query's rows meet once."""
+    from pyspark.sql import functions as F
+    import __spark_entry__ as entry
+    df = spark.createDataFrame([(i, i / 10, (7 * i % 11) / 10, float(i % 3)) for i in range(12)] + [(12, None, 0.5, 1.0), (13, 0.5, None, 1.0)], "event_id long, a double, b double, c double")
+    args = F.col("a"), F.col("b"), F.col("c"), (0.3, 0.4)
+    got = D.cascades(df, D.CASCADE_MODES, *args).select("mode", "event_id", "status", "diff_score", "small_score", "detector_score").collect()
+    want = [(m, *r) for m in D.CASCADE_MODES for r in D.cascade(df, m, *args).select("event_id", "status", "diff_score", "small_score", "detector_score").collect()]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    plan = entry.queries()["P11_cascade"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and "BroadcastHashJoin" not in plan
