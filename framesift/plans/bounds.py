@@ -1,6 +1,6 @@
 """Bounds: the best split of samples over chunks when all probabilities are known.
 
-Every step is one aggregation over the long P table; many targets (sample sizes or penalties)
+Every step is one aggregation over the lists of p of all tracks; many targets (sample sizes or penalties)
 move together as a key column.
 """
 
@@ -15,23 +15,38 @@ from framesift.functions.ordinal import exact_quantiles
 from framesift.session import cut_lineage
 
 
-def _pull(p: DataFrame, w: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per chunk Σ p·exp(−Σpw), how much one more sample there is worth, and a bound on how fast that falls.
+def _by_track(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(category, track_id, ps, s) with a track's (chunk number, p) in a list, and (category, chunk_id, at) with the numbers.
 
-    With the largest p of the chunk, and the misses and the objects of its target.
+    A list is as long as the chunks its track is seen in.
     """
-    p_w = F.col("p") * F.col("w")
-    x = p.join(w, [*keys, "chunk_id"]).groupBy(*keys, "track_id").agg(F.exp(-F.sum(p_w)).alias("l"), F.sum("p").alias("s"))
-    pull = F.col("p") * F.col("l")
-    worth = p.join(x, [*keys, "track_id"]).groupBy(*keys, "chunk_id").agg(
-        F.sum(pull).alias("g"), F.sum(pull * F.col("s")).alias("fall"), F.max("p").alias("top"))
-    lost = x.groupBy(*keys).agg(F.sum("l").alias("misses"), F.count(F.lit(1)).alias("objects"))
-    return w.join(worth, [*keys, "chunk_id"]).join(lost, list(keys))
+    at = F.row_number().over(Window.partitionBy("category").orderBy("chunk_id"))
+    chunks = cut_lineage(p.select("category", "chunk_id").distinct().withColumn("at", at), "chunks")
+    of = p.join(chunks, ["category", "chunk_id"]).groupBy("category", "track_id")
+    return cut_lineage(of.agg(F.array_sort(F.collect_list(F.struct("at", "p"))).alias("ps"), F.sum("p").alias("s")), "tracks"), chunks
+
 
+def _pull(tracks: DataFrame, w: DataFrame, target: str) -> DataFrame:
+    """Per chunk Σ p·exp(−Σpw), how much one more sample there is worth, and a bound on how fast that falls.
 
-def _exposed(p: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """P rows per target: categories equi-join their few targets."""
-    return p.join(targets, list(keys))
+    With the largest p of the chunk, and the misses and the objects of its target.  The counts ``w`` (category, target,
+    chunk_id, at, w) go to the tracks, one row per category; from these only sums per chunk are passed on.
+    """
+    keys = ["category", target]
+    lists = w.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("ws"))
+    each = F.collect_list(F.struct(F.col(target), F.col("ws.w").alias("ws"))).alias("each")
+    # The planner takes the product of two tables for the size of their join; this side is one number per chunk and target.
+    met = tracks.join(F.broadcast(lists.groupBy("category").agg(each)), "category").select("category", "ps", "s", F.explode("each").alias("e"))
+    left = F.exp(-F.aggregate("ps", F.lit(0.0), lambda total, x: total + x["p"] * F.get("e.ws", x["at"] - 1)))
+    seen = met.select("category", F.col(f"e.{target}").alias(target), "s", "ps", left.alias("l"))
+    seen = seen.select(*keys, "s", "l", F.posexplode("ps").alias("i", "x"))
+    pull, once = F.col("x.p") * F.col("l"), F.col("i") == 0
+    worth = seen.groupBy(*keys, F.col("x.at").alias("at")).agg(
+        F.sum(pull).alias("g"), F.sum(pull * F.col("s")).alias("fall"), F.max("x.p").alias("top"),
+        F.sum(F.when(once, F.col("l")).otherwise(0.0)).alias("__l"), F.count_if(once).alias("__n"))
+    whole = Window.partitionBy(*keys)
+    worth = worth.withColumns({"misses": F.sum("__l").over(whole), "objects": F.sum("__n").over(whole)}).drop("__l", "__n")
+    return w.join(worth, [*keys, "at"])
 
 
 def _proven(state: DataFrame, gap: Column, keys: Sequence[str], tolerance: float) -> bool:
@@ -51,17 +66,16 @@ def optimal_allocation(p: DataFrame, targets: DataFrame, steps: int = 200, toler
     most ``tolerance`` of its objects; an error tells when ``steps`` do not get there.
     """
     keys = ["category", "n"]
-    rows = cut_lineage(_exposed(p, targets, ["category"]), "alloc-p")
-    chunks = rows.select(*keys, "chunk_id").distinct()
-    w = chunks.withColumn("w", F.col("n") / F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    tracks, chunks = _by_track(p)
+    w = chunks.join(targets, "category").withColumn("w", F.col("n") / F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     gap = F.max("g") * F.max("n") - F.sum(F.col("g") * F.col("w"))
     for _ in range(steps):
-        state = cut_lineage(_pull(rows, w, keys), "alloc")
+        state = cut_lineage(_pull(tracks, w, "n"), "alloc")
         if _proven(state, gap, keys, tolerance):
             return state.select(*keys, "chunk_id", "w", "misses")
         grown = state.withColumn("__v", F.col("w") * F.sqrt("g"))
         total = grown.groupBy(*keys).agg(F.sum("__v").alias("__t"))
-        w = grown.join(total, keys).select(*keys, "chunk_id", (F.col("__v") / F.col("__t") * F.col("n")).alias("w"))
+        w = grown.join(total, keys).select(*keys, "chunk_id", "at", (F.col("__v") / F.col("__t") * F.col("n")).alias("w"))
     raise RuntimeError(f"the gap is above {tolerance} of the objects after {steps} steps")
 
 
@@ -73,16 +87,16 @@ def penalised_allocation(p: DataFrame, penalties: DataFrame, steps: int = 200, t
     like ``optimal_allocation``; the best total costs no more than the present one, which bounds it.
     """
     keys = ["category", "lam"]
-    rows = cut_lineage(_exposed(p, penalties, ["category"]), "pen-p")
-    w = rows.select(*keys, "chunk_id").distinct().withColumn("w", 1 / F.col("lam") / F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    tracks, chunks = _by_track(p)
+    w = chunks.join(penalties, "category").withColumn("w", 1 / F.col("lam") / F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     most = F.least(F.max("objects") / F.max("lam"), F.sum("w") + F.max("misses") / F.max("lam"))
     gap = F.sum((F.col("lam") - F.col("g")) * F.col("w")) + F.greatest(F.max("g") - F.max("lam"), F.lit(0.0)) * most
     for _ in range(steps):
-        state = cut_lineage(_pull(rows, w, keys), "pen")
+        state = cut_lineage(_pull(tracks, w, "lam"), "pen")
         if _proven(state, gap, keys, tolerance):
             return state.select(*keys, "chunk_id", "w", "misses")
         move = F.greatest(F.least((F.col("g") - F.col("lam")) / F.col("fall"), 2 / F.col("top")), -1 / F.col("top"))
-        w = state.select(*keys, "chunk_id", F.greatest(F.col("w") + move, F.lit(0.0)).alias("w"))
+        w = state.select(*keys, "chunk_id", "at", F.greatest(F.col("w") + move, F.lit(0.0)).alias("w"))
     raise RuntimeError(f"the gap is above {tolerance} of the objects after {steps} steps")
 
 

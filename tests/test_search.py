@@ -210,3 +210,23 @@ def test_adaptive_search_needs_fewer_frames_on_skewed_data(spark):
     used = log.groupBy("experiment").agg(F.count_distinct("sample_id").alias("nf")).collect()
     nf = {s: np.median([r.nf for r in used if r.experiment.startswith(s)]) for s in ("gt_ts", "random")}
     assert nf["gt_ts"] < nf["random"]
+
+
+def test_allocation_steps_equal_sums_and_pass_on_no_tracks(spark):
+    """A step's sums are those of a plain loop, and only sums per chunk are shuffled, once for all targets."""
+    rng = np.random.default_rng(8)
+    rows = [("ab"[t % 2], t, int(c), float(rng.random() / 50)) for t in range(40) for c in rng.choice(5, int(rng.integers(1, 5)), replace=False)]
+    p = spark.createDataFrame(rows, "category string, track_id long, chunk_id int, p double")
+    tracks, chunks = bounds._by_track(p)
+    w = chunks.join(spark.createDataFrame([("a", 10.0), ("a", 70.0), ("b", 30.0)], "category string, n double"), "category").withColumn("w", F.col("n") / (F.col("chunk_id") + 2))
+    out = bounds._pull(tracks, w, "n")
+    got = {(r.category, r.n, r.chunk_id): r for r in out.collect()}
+    assert len(got) == len({(k, c) for k, _, c, _ in rows if k == "a"}) * 2 + len({c for k, _, c, _ in rows if k == "b"})
+    for (k, n, c), r in got.items():
+        left = {t: math.exp(-sum(x * n / (d + 2) for k2, t2, d, x in rows if t2 == t)) for k2, t, _, _ in rows if k2 == k}
+        total = {t: sum(x for _, t2, _, x in rows if t2 == t) for t in left}
+        mine = [(t, x) for k2, t, d, x in rows if k2 == k and d == c]
+        want = [sum(x * left[t] for t, x in mine), sum(x * left[t] * total[t] for t, x in mine), max(x for _, x in mine), sum(left.values()), len(left)]
+        assert [r.g, r.fall, r.top, r.misses, r.objects] == pytest.approx(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any("track_id" in line for line in plan.splitlines() if "Exchange" in line)
