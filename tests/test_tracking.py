@@ -180,3 +180,40 @@ def test_cascade_modes_in_one_pass(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     plan = entry.queries()["P11_cascade"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 1 and "BroadcastHashJoin" not in plan
+
+
+def test_assignments_with_many_ways_are_settled_in_order():
+    """Ties that small disturbances did not show."""
+    ties = [np.array([[0, 0, 4, 2, 0], [0, 0, 0, 0, 0], [0, 0, 0, 2, 0], [4, 4, 4, 0, 0]]) / 4,
+            np.array([[0, 0, 0, 0, 1], [4, 1, 0, 2, 1], [2, 4, 0, 3, 2], [1, 0, 0, 0, 1], [2, 4, 0, 1, 0], [0, 4, 0, 4, 3]]) * 0.075]
+    rng = np.random.default_rng(3)
+    ties += [rng.integers(0, 4, rng.integers(1, 8, 2)) * 0.25 for _ in range(200)]
+    for gain in ties:
+        assert K.settled_assignment(gain) == K._tried_in_order(gain, 1e-9)
+    assert K.settled_assignment(np.ones((150, 400))) == [(i, i) for i in range(150)]
+
+
+@pytest.mark.parametrize("rules", [K.SIMPLE, K.CONFIDENT])
+def test_links_of_a_crowd_connect_like_all_pairs_and_grow_with_the_boxes(spark, rules):
+    """Crowded frames: few links, the components of all pairs."""
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(0, 400, 900).tolist(), rng.integers(0, 120, 900).tolist()
+    rows = [(i, "a", int(rng.integers(12)), float(x[i]), float(y[i]), float(x[i] + 60), float(y[i] + 60), 1.0) for i in range(900)]
+    links = [tuple(r) for r in K.linkable(spark.createDataFrame(rows, SCHEMA), rules, ["category"], "event_id").collect()]
+    assert len(links) < 6 * len(rows)
+    box, frame = np.array([r[3:7] for r in rows]), np.array([r[2] for r in rows])
+    gap, overlap = np.abs(frame[:, None] - frame), np_iou(box, box)
+    near = (gap > 0) & (gap <= rules.back) & (overlap >= rules.iou_min)
+    if rules.suppress_above is not None:
+        near |= (gap == 0) & (overlap > rules.suppress_above)
+
+    def components(pairs):
+        name = list(range(len(rows)))
+        for _ in range(len(rows)):
+            before = list(name)
+            for a, b in pairs:
+                name[a] = name[b] = min(name[a], name[b])
+            if name == before:
+                return name
+
+    assert components(links) == components(list(zip(*(v.tolist() for v in np.nonzero(near)))))
