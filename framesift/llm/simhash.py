@@ -14,7 +14,7 @@ out a spanning forest of the links it finds, never the pairs themselves.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
 from math import ceil, comb, log2
 
@@ -34,22 +34,33 @@ TILE = 1024
 CHUNK = 1 << 16
 
 
-def fingerprint(raw: bytes | None, width: int = SHINGLE) -> int:
-    """Unsigned fingerprint of UTF-8 bytes; zero for a null text or one without words."""
+def shingle_hashes(raw: bytes | None, width: int = SHINGLE) -> Iterator[np.ndarray]:
+    """XXH64 hashes of the word shingles of UTF-8 bytes, repeats included, CHUNK at a time; fewer words are one shingle, none are none."""
     words = raw.lower().split() if raw else []
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    starts, ends = (starts[: 1 - width], ends[width - 1:]) if len(words) >= width else (starts[:1], ends[-1:])
-    votes = np.zeros(BITS, np.int64)
+    starts, ends = (starts[: len(words) - width + 1], ends[width - 1:]) if len(words) >= width else (starts[:1], ends[-1:])
     for i in range(0, len(starts), CHUNK):
         s, e = starts[i: i + CHUNK].tolist(), ends[i: i + CHUNK].tolist()
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, map(slice, s, e)), repeat(SEED)), np.uint64, len(s))
+        yield np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, map(slice, s, e)), repeat(SEED)), np.uint64, len(s))
+
+
+def majority(chunks: Iterable[np.ndarray]) -> int:
+    """Unsigned fingerprint of hashes: a bit is set where it is in over half of them; zero for none."""
+    votes, n = np.zeros(BITS, np.int64), 0
+    for hashes in chunks:
         votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(votes * 2 > len(starts), bitorder="little").view(np.uint64)[0])
+        n += len(hashes)
+    return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(raw: bytes | None, width: int = SHINGLE) -> int:
+    """Unsigned fingerprint of UTF-8 bytes; zero for a null text or one without words."""
+    return majority(shingle_hashes(raw, width))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE) -> DataFrame:
@@ -248,15 +259,23 @@ def near_links(distinct: DataFrame, count: int, radius: int = RADIUS, tile: int
     return sorted_units.mapInArrow(_links(radius), "u long, v long").distinct()
 
 
-def _grouped(docs: DataFrame, radius: int, width: int, tile: int) -> DataFrame:
-    """(doc_id, mark, fp, root, component_id) of every row; ``root`` names the component."""
-    rows = cut_lineage(fingerprints(docs, width=width), "fingerprints")
+def linked(rows: DataFrame, radius: int = RADIUS, tile: int = TILE) -> tuple[DataFrame, int]:
+    """(fp, first, n, root) of the distinct fingerprints of ``rows`` (doc_id, fp), and the number of rows.
+
+    ``root`` names the component, ``first`` is the smallest doc_id with the fingerprint and ``n`` its number of rows.
+    """
     per_fp = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
     total, count = per_fp.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     roots = smallest_reachable(near_links(per_fp.select("fp"), count, radius, tile))
-    linked = per_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
-    lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = cut_lineage(linked.join(lowest, "root").select("fp", "n", "root", "component_id"), "components")
+    return per_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), total
+
+
+def _grouped(docs: DataFrame, radius: int, width: int, tile: int) -> DataFrame:
+    """(doc_id, mark, fp, root, component_id) of every row; ``root`` names the component."""
+    rows = cut_lineage(fingerprints(docs, width=width), "fingerprints")
+    found, total = linked(rows, radius, tile)
+    lowest = found.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = cut_lineage(found.join(lowest, "root").select("fp", "n", "root", "component_id"), "components")
     return join_hot(rows, named, "fp", "n", total)
 
 

@@ -264,6 +264,25 @@ def test_forest_of_a_unit_joins_what_agrees(monkeypatch, dense):
         assert (allowed == found).all()
 
 
+def test_near_duplicate_stage_compares_simhash_components(spark, monkeypatch):
+    """Without any key of min-wise hashes, sets in one component of fingerprints are still compared, and only they."""
+    monkeypatch.setattr(nearsets, "band_keys", lambda hashes: [])
+    texts = planted_copies()
+    # Equal fingerprints, one shingle repeated, but sets that have little in common.
+    texts |= {10**6 + k: "again " * 400 + " ".join(f"v{k}x{j}" for j in range(30)) for k in range(3)}
+    ids = sorted(texts)
+    fps = np.array([simhash.fingerprint(texts[i].encode(), 5) for i in ids], np.uint64)
+    assert len(set(fps[-3:])) == 1
+    groups = {}
+    for i, c in zip(ids, brute_components(ids, fps).tolist()):
+        groups.setdefault(c, {})[i] = texts[i]
+    expected = set().union(*(brute_near_sets(g) for g in groups.values()))
+    assert len(expected) < len({frozenset(nearsets.shingle_set(t.encode()).tolist()) for t in texts.values()}) - 50
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], DOC)
+    got = [r.doc_id for r in corpus_pipeline.deduplicated(spark, df, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and set(ids[-3:]) <= expected
+
+
 def test_near_duplicate_stage_edges(spark, odd):
     kept = nearsets.one_of_each(odd)
     assert kept.columns == odd.columns
