@@ -14,9 +14,11 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 from framesift.functions.boxes import CORNERS
 from framesift.operators.tracking import LiveTracks, Linking, link_frame
 
-#: Boxes of a frame that wait for it to be over, and the last box of each live track.
-FRAME, ROWS = "frame long", "id array<long>, box array<double>, score array<double>, over long"
-LIVE = "tid array<long>, box array<double>, last array<long>"
+#: Boxes that wait for their frame to be over, packed as records of ``BOX``; the last box of each live track; the time of a key's timer.
+WAITING, LIVE, WAKE = "boxes binary", "tid array<long>, box array<double>, last array<long>", "time long"
+BOX = np.dtype([("frame", np.int64), ("id", np.int64), ("over", np.int64), ("score", np.float64), ("box", np.float64, 4)])
+#: Linked rows given out at once, about.
+ROWS_OUT = 10_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -28,7 +30,8 @@ def ordered_state(spark: SparkSession) -> None:
 class FrameLinker(StatefulProcessor):
     """Holds every frame of a key back until the watermark passes its end, then links it.
 
-    Frames are linked in their order and whole, whatever order their boxes came in.
+    Frames are linked in their order and whole, whatever order their boxes came in.  A key has one timer at a time, for the
+    first frame that waits or else for the end of its tracks, so what waits is looked through once a micro-batch.
     """
 
     def __init__(self, rules: Linking, key: str, by: Sequence[str], idle_ms: int):
@@ -36,45 +39,75 @@ class FrameLinker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", FRAME, ROWS)
+        self.waiting = handle.getListState("waiting", WAITING)
         self.live = handle.getValueState("live", LIVE)
+        self.wake = handle.getValueState("wake", WAKE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         if any(k is None for k in key):  # a closing row has no key
             return
-        whole = pd.concat(list(rows))
-        for frame, part in whole.groupby("frame_id", sort=True):
-            at = (int(frame),)
-            ids, box, score = part[self.key].tolist(), part[list(CORNERS)].to_numpy(float).ravel().tolist(), part["confidence"].astype(float).tolist()
-            over = int(part["over"].max().timestamp() * 1000)
-            if self.waiting.containsKey(at):
-                held = self.waiting.getValue(at)
-                ids, box, score, over = list(held[0]) + ids, list(held[1]) + box, list(held[2]) + score, max(over, held[3])
-            else:
-                self.handle.registerTimer(over)
-            self.waiting.updateValue(at, (ids, box, score, over))
+        first = None
+        for part in rows:
+            part = part[part["frame_id"].notna()]
+            if not len(part):
+                continue
+            came = np.empty(len(part), BOX)
+            came["frame"], came["id"], came["over"] = (part[c].fillna(0).to_numpy(np.int64) if c == "over_ms" else part[c].to_numpy(np.int64) for c in ("frame_id", self.key, "over_ms"))
+            came["score"], came["box"] = part["confidence"].to_numpy(float), part[list(CORNERS)].to_numpy(float)
+            self.waiting.appendValue((came.tobytes(),))
+            first = int(came["over"].min()) if first is None else min(first, int(came["over"].min()))
+        if first is not None:
+            held = self.wake.get()
+            if held is None or first < held[0]:
+                if held is not None:
+                    self.handle.deleteTimer(held[0])
+                self._wake_at(first)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        due = sorted((k[0], v) for k, v in self.waiting.iterator() if v[3] <= now)
-        live = LiveTracks()
-        if self.live.exists():
-            tid, box, last = self.live.get()
-            live = LiveTracks(np.array(tid, np.int64), np.array(box, float).reshape(-1, 4), np.array(last, np.int64))
-        if not due:
+        boxes = np.concatenate([np.zeros(0, BOX), *(np.frombuffer(x[0], BOX) for x in self.waiting.get())])
+        boxes = boxes[np.lexsort([boxes["id"], boxes["frame"]])]
+        starts = np.flatnonzero(np.r_[True, boxes["frame"][1:] != boxes["frame"][:-1]]) if len(boxes) else np.zeros(0, int)
+        over = np.maximum.reduceat(boxes["over"], starts) if len(starts) else boxes["over"]
+        later = over[over > now]
+        self.wake.clear()
+        if len(later) < len(over):
+            live = LiveTracks()
+            if self.live.exists():
+                tid, box, last = self.live.get()
+                live = LiveTracks(np.array(tid, np.int64), np.array(box, float).reshape(-1, 4), np.array(last, np.int64))
+            out, rows, keys = [], 0, dict(zip(self.by, key))
+            for lo, hi, end in zip(starts, [*starts[1:], len(boxes)], over):
+                if end > now:
+                    continue
+                one = boxes[lo:hi]
+                out.append((one["id"], *link_frame(live, self.rules, int(one["frame"][0]), one["id"], one["box"], one["score"])))
+                rows += len(one)
+                if rows >= ROWS_OUT:
+                    yield self._linked(keys, out)
+                    out, rows = [], 0
+            if out:
+                yield self._linked(keys, out)
+            self.live.update((live.tid.tolist(), live.box.ravel().tolist(), live.last.tolist()))
+            if len(later):
+                self.waiting.put([(boxes[np.repeat(over > now, np.diff(np.r_[starts, len(boxes)]))].tobytes(),)])
+            else:
+                self.waiting.clear()
+            self._wake_at(int(later.min()) if len(later) else max(int(over.max()), now) + self.idle_ms)
+        elif len(later):
+            self._wake_at(int(later.min()))
+        else:
             # Its last frame is a grace period old: no track of this key can go on.
-            if self.live.exists() and not any(True for _ in self.waiting.keys()):
-                self.live.clear()
-            return
-        for frame, (ids, box, score, _) in due:
-            order = np.argsort(np.array(ids, np.int64), kind="stable")
-            ids, box, score = np.array(ids, np.int64)[order], np.array(box, float).reshape(-1, 4)[order], np.array(score, float)[order]
-            tids, off = link_frame(live, self.rules, frame, ids, box, score)
-            self.waiting.removeKey((frame,))
-            yield pd.DataFrame({**dict(zip(self.by, key)), self.key: ids, "tid": tids, "suppressed": off})
-        self.live.update((live.tid.tolist(), live.box.ravel().tolist(), live.last.tolist()))
-        self.handle.registerTimer(max(due[-1][1][3], now) + self.idle_ms)
+            self.live.clear()
+
+    def _wake_at(self, time: int) -> None:
+        self.handle.registerTimer(time)
+        self.wake.update((time,))
+
+    def _linked(self, keys: dict, out: list) -> pd.DataFrame:
+        ids, tids, off = (np.concatenate(x) for x in zip(*out))
+        return pd.DataFrame({**keys, self.key: ids, "tid": tids, "suppressed": off})
 
     def close(self) -> None:
         pass
@@ -93,7 +126,7 @@ def link_stream(boxes: DataFrame, rules: Linking, over: Column, key: str = "even
     """
     kinds = [T.StructField(c, boxes.schema[c].dataType) for c in by]
     out = T.StructType([*kinds, T.StructField(key, T.LongType()), T.StructField("tid", T.LongType()), T.StructField("suppressed", T.BooleanType())])
-    rows = boxes.select(*by, over.alias("over"), "frame_id", key, *CORNERS, "confidence").withWatermark("over", delay)
+    rows = boxes.select(*by, over.alias("over"), "frame_id", key, *CORNERS, "confidence").withWatermark("over", delay).withColumn("over_ms", F.unix_millis("over"))
     processor = FrameLinker(rules, key, by, int((rules.grace + 1) * frame_seconds * 1000))
     return rows.groupBy(*by).transformWithStateInPandas(processor, out, "append", "EventTime")
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from framesift.operators import metrics, stats
 from framesift.operators import retrieval as R
 from framesift.operators import tracking as K
-from framesift.session import scratch_path
+from framesift.session import cut_lineage, scratch_path
 from framesift.streaming import live
 from queries import views
 from queries.q_detections import linker_sql, recursive
@@ -97,6 +97,7 @@ def stream_of(spark, df, label, slices=5, files=4, late=0, closing=False):
     Rows come up to ``late`` seconds after their time, so out of order; ``closing`` ends the stream with a closing row.
     """
     path = scratch_path(spark, label)
+    df = cut_lineage(df, label + "-rows")  # read once for each slice
     came = F.col("ts").cast("double") + (F.pmod(F.xxhash64("event_id"), F.lit(late)) if late else F.lit(0))
     lo, hi = df.agg(F.min(came), F.max(came)).first()
     at = F.least(F.floor((came - lo) / ((hi - lo) / slices)), F.lit(slices - 1))
