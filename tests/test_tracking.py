@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from framesift.functions import boxes
 from framesift.functions.boxes import np_iou
 from framesift.operators import detections as D
 from framesift.operators import tracking as K
@@ -217,3 +218,35 @@ def test_links_of_a_crowd_connect_like_all_pairs_and_grow_with_the_boxes(spark,
                 return name
 
     assert components(links) == components(list(zip(*(v.tolist() for v in np.nonzero(near)))))
+
+
+def test_overlaps_by_strips_equal_the_matrix():
+    rng = np.random.default_rng(2)
+    for size in (1, 40, 4000):
+        corner = rng.random((400, 2)) * size
+        a, b = (np.concatenate([c, c + rng.random(c.shape) * 60 - 1], axis=1) for c in (corner, corner[::-1] + 7))
+        a[3, 0], b[5, 3] = np.nan, np.inf
+        iou = np_iou(a, b)
+        i, j, got = boxes.overlaps(a, b, 0.1)
+        p, q = np.nonzero(iou >= 0.1)
+        assert i.tolist() == p.tolist() and j.tolist() == q.tolist() and (got == iou[p, q]).all()
+
+
+def test_a_crowded_frame_compares_pairs_in_sight_only():
+    """2000 boxes against 6000 tracks, a tenth of the matrix by the look-up, and nothing as large as the matrix in the assignment."""
+    rng = np.random.default_rng(6)
+    box, live = (np.concatenate([c, c + 50], axis=1) for c in (rng.integers(0, 3000, (n, 2)).astype(float) for n in (2000, 6000)))
+    seen = []
+    whole, K.np_iou, boxes.np_iou = boxes.np_iou, *[lambda a, b: seen.append(len(a) * len(b)) or whole(a, b)] * 2
+    try:
+        tracks = K.LiveTracks(np.arange(6000), live, np.zeros(6000, np.int64))
+        tids, _ = K.link_frame(tracks, K.CONFIDENT, 1, np.arange(10_000, 12_000), box, np.ones(2000))
+    finally:
+        K.np_iou = boxes.np_iou = whole
+    assert max(seen, default=0) <= boxes.DENSE
+    iou = np_iou(box, live)
+    mine = [(r, int(t)) for r, t in enumerate(tids) if t < 6000]
+    row, col = np.nonzero(iou >= 0.01)
+    match, u, v = K._best(2000, 6000, row, col, iou[row, col])
+    assert (u >= -1e-12).all() and (v >= -1e-12).all() and (u[row] + v[col] - iou[row, col] >= -1e-9).all()
+    assert u.sum() + v.sum() == pytest.approx(sum(iou[r, c] for r, c in mine)) and len({c for _, c in mine}) == len(mine)
