@@ -250,3 +250,20 @@ def test_a_crowded_frame_compares_pairs_in_sight_only():
     match, u, v = K._best(2000, 6000, row, col, iou[row, col])
     assert (u >= -1e-12).all() and (v >= -1e-12).all() and (u[row] + v[col] - iou[row, col] >= -1e-9).all()
     assert u.sum() + v.sum() == pytest.approx(sum(iou[r, c] for r, c in mine)) and len({c for _, c in mine}) == len(mine)
+
+
+def test_best_partners_of_a_crowd_equal_all_pairs_and_grow_with_the_boxes(spark):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(12)
+    x, y = rng.integers(0, 300, 900).tolist(), rng.integers(0, 90, 900).tolist()
+    rows = [(i if i else None, "a", int(rng.integers(40)), float(x[i]), float(y[i]), float(x[i] + 60), float(y[i] + 60), 1.0) for i in range(900)]
+    df = spark.createDataFrame(rows + rows[5:9], SCHEMA)
+    offers = K.best_partners(df, ["category"], "event_id", 30, 0.5)
+    assert offers.count() < 8 * len(rows)
+    pairs = D.near_pairs(df, df, ["category"], "event_id", 30, 0.5)
+    assert pairs.count() > 3 * offers.count()
+    near, far = F.struct("iou", "old_frame", (-F.col("old_id")).alias("o")), F.struct("iou", (-F.col("new_frame")).alias("f"), (-F.col("new_id")).alias("n"))
+    old = {tuple(r) for r in pairs.groupBy("new_id").agg(F.max_by("old_id", near)).dropna(subset=["new_id"]).collect()}
+    new = {tuple(r) for r in pairs.groupBy("old_id").agg(F.max_by("new_id", far)).dropna(subset=["old_id"]).collect()}
+    best = lambda side, rank: {tuple(r) for r in offers.where(side).groupBy("id").agg(F.max_by("other", F.struct("iou", rank.alias("f"), (-F.col("other")).alias("o")))).collect()}
+    assert best("earlier", F.col("frame")) == old and best("NOT earlier", -F.col("frame")) == new
