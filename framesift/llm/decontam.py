@@ -140,7 +140,7 @@ def search(text: str | None, index: Index) -> list[tuple[int, float, float, floa
     """Leaked items of a text: (item_id, best passage score, share of the whole, of the question, of the answer).
 
     Passages are twice as long as the longest item and overlap by its length, so each occurrence of
-    an item lies whole in one of them.
+    an item lies whole in one of them.  A longer text is a passage as well, for items whose parts lie further apart.
     """
     w = words(text)
     if not w or not index.items:
@@ -154,7 +154,10 @@ def search(text: str | None, index: Index) -> list[tuple[int, float, float, floa
     # A term at word p lies in the passages that start at (p // step - 1) and (p // step) steps.
     hi = at // step
     passage = np.concatenate([np.minimum(hi, last), np.clip(hi - 1, 0, last)])
-    pair = np.unique(passage.astype(np.int64) * len(index.terms) + np.concatenate([ids[at], ids[at]]))
+    terms = np.concatenate([ids[at], ids[at]])
+    if last:  # the whole text comes after the others
+        passage, terms = np.concatenate([passage, np.full(len(at), last + 1)]), np.concatenate([terms, ids[at]])
+    pair = np.unique(passage.astype(np.int64) * len(index.terms) + terms)
     passage, term = pair // len(index.terms), pair % len(index.terms)
     first, count = index.block_start[term], index.block_start[term + 1] - index.block_start[term]
     slot = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
@@ -167,8 +170,10 @@ def search(text: str | None, index: Index) -> list[tuple[int, float, float, floa
     for key in keys.tolist():
         p, blk = divmod(key, len(index.block_need))
         if p != held_at:
-            held_at, held = p, set(w[p * step: (p + 2) * step])
+            held_at, held = p, set(w if last and p > last else w[p * step: (p + 2) * step])
         for k in range(blk * BLOCK, min(len(index.items), (blk + 1) * BLOCK)):
+            if last and p > last and k in found:
+                continue  # its best passage is known
             score = sum(x for t, x in index.impacts[k].items() if t in held)
             if score >= index.theta[k]:
                 found[k] = max(found.get(k, 0.0), score)

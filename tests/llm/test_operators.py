@@ -535,6 +535,23 @@ def test_question_and_answer():
     assert decontam.question_and_answer("no parts at all") == ("no parts at all", "")
 
 
+def test_items_torn_apart_are_leaks_whatever_else_is_in_the_index():
+    item = " ".join(f"q{i}" for i in range(30)) + "? " + " ".join(f"a{i}" for i in range(30))
+    longer = " ".join(f"z{i}" for i in range(600))
+    for apart in (10, 70, 500, 5000):
+        text = "before " * 30 + " ".join(f"q{i}" for i in range(30)) + " other" * apart + " " + " ".join(f"a{i}" for i in range(30)) + " after" * 40
+        for rows in ([(1, item)], [(1, item), (2, longer)]):
+            df = {t: 1 for _, x in rows for t in decontam.words(x)}
+            index = decontam.build(rows, len(rows), df, sum(len(decontam.words(x)) for _, x in rows) / len(rows))
+            assert [(h[0], round(h[2], 4)) for h in decontam.search(text, index)] == [(1, round(52 / 56, 4))]
+
+
+def test_language_stage_without_a_learned_language_drops_only_texts_without_a_letter(spark):
+    import corpus_pipeline
+    docs = spark.createDataFrame([(1, "ein Satz", None), (2, "12 34", None), (3, None, None), (4, "слово", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.identified(spark, docs, SF).collect()} == {1, 4}
+
+
 def test_decontamination_edges(spark, odd):
     b = spark.createDataFrame([(1, "the cat sat on the mat and looked at the moon"), (None, "é"), (2, None), (3, "")], "item_id long, text string")
     got = decontam.contaminated(odd, b).collect()
